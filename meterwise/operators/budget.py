@@ -99,20 +99,19 @@ def budget_use(projection: DataFrame, budgets: DataFrame, cfg: Config) -> DataFr
     return used.withColumn("severity", F.when(F.col("budget_pct") >= cfg.budget_alert_pct, severity))
 
 
-def budget_guardrail(projection: DataFrame, budgets: DataFrame, cfg: Config) -> DataFrame:
+def budget_guardrail(used: DataFrame) -> DataFrame:
     """The workspaces at or above the alert percentage."""
-    return budget_use(projection, budgets, cfg).where(F.col("severity").isNotNull()).select(
+    return used.where(F.col("severity").isNotNull()).select(
         "workspace_id", "linear_projection", "budget", "budget_pct", "severity"
     )
 
 
-def budget_top_drivers(guardrail: DataFrame, trend: DataFrame, clock: Clock, limit: int = 3) -> DataFrame:
-    """The dearest job names of each alerting workspace, month to date."""
+def workspace_top_drivers(trend: DataFrame, clock: Clock, limit: int = 3) -> DataFrame:
+    """The dearest job names of each workspace, month to date."""
     spend = (
         trend.where(clock.dates_since("usage_date", clock.month_start))
         .groupBy("workspace_id", "job_name")
         .agg(steady_round(F.sum("daily_cost_usd"), 2).alias("mtd_cost"))
-        .join(guardrail.select("workspace_id"), "workspace_id", "left_semi")
     )
     order = [F.desc("mtd_cost"), F.asc_nulls_first("job_name")]
     return top_per_key(spend, ["workspace_id"], order, limit, rank="rank").select(
@@ -120,9 +119,14 @@ def budget_top_drivers(guardrail: DataFrame, trend: DataFrame, clock: Clock, lim
     )
 
 
-def budget_alerts(projection: DataFrame, guardrail: DataFrame, drivers: DataFrame) -> DataFrame:
-    """The guardrail rows with their drivers folded in and a sentence."""
-    # At most ``limit`` drivers per workspace reach the list.
+def budget_top_drivers(guardrail: DataFrame, drivers: DataFrame) -> DataFrame:
+    """The drivers of the alerting workspaces."""
+    return drivers.join(guardrail.select("workspace_id"), "workspace_id", "left_semi")
+
+
+def budget_alerts(used: DataFrame, drivers: DataFrame) -> DataFrame:
+    """The alerting rows of ``budget_use`` with their drivers folded in and a sentence."""
+    # ``workspace_top_drivers`` has limited each list.
     listed = F.sort_array(
         F.collect_list(F.struct("rank", F.col("job_name").alias("name"), F.col("mtd_cost").alias("cost")))
     )
@@ -133,7 +137,7 @@ def budget_alerts(projection: DataFrame, guardrail: DataFrame, drivers: DataFram
     )
     text = F.coalesce(F.nullif(F.array_join(named, ", "), F.lit("")), F.lit(NO_DRIVERS))
     rows = (
-        guardrail.join(projection.select("workspace_id", "mtd_spend", "avg_daily_spend"), "workspace_id")
+        used.where(F.col("severity").isNotNull())
         .join(folded, "workspace_id", "left")
         .withColumn(
             "top_drivers",

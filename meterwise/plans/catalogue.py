@@ -67,6 +67,11 @@ class Inputs:
     def found(self) -> Findings:
         return Findings(self.f, self.t, CLOCK, CONFIG)
 
+    @cached_property
+    def found_in_settled(self) -> Findings:
+        """For queries in which several findings read one feature."""
+        return Findings(self.settled, self.t, CLOCK, CONFIG)
+
     @cached_property
     def completed(self) -> DataFrame:
         return feat.completed_runs(self.t.job_run_timeline, CLOCK, CONFIG.health_lookback_days)
@@ -173,10 +178,10 @@ QUERIES["budget_projection"] = lambda i: i.found.projection
 QUERIES["budget_projection_calendar"] = lambda i: budget.budget_projection_calendar(i.found.daily_spend, CLOCK)
 QUERIES["spend_by_tag"] = lambda i: budget.spend_by_tag(i.t.usage, i.t.list_prices, CLOCK, CONFIG)
 QUERIES["budget_guardrail"] = lambda i: rounded(i.found.guardrail, budget_pct=4)
-QUERIES["budget_top_drivers"] = lambda i: i.found.drivers
+QUERIES["budget_top_drivers"] = lambda i: budget.budget_top_drivers(i.found.guardrail, i.found.workspace_drivers)
 QUERIES["budget_actions"] = lambda i: i.found.budget_actions.drop("details")
-QUERIES["alerts"] = lambda i: i.found.alerts
-QUERIES["all_actions"] = lambda i: i.found.all_actions.drop("details")
+QUERIES["alerts"] = lambda i: i.found_in_settled.alerts
+QUERIES["all_actions"] = lambda i: i.found_in_settled.all_actions.drop("details")
 
 # --- reports --------------------------------------------------------------------------
 
@@ -225,9 +230,7 @@ QUERIES["job_duration_percentiles"] = lambda i: questions.job_duration_percentil
 QUERIES["budget_exhaustion_date"] = lambda i: questions.budget_exhaustion_date(
     i.found.projection, i.found.budgets, CLOCK, CONFIG
 )
-QUERIES["budget_risk_rank"] = lambda i: questions.budget_risk_rank(
-    budget.budget_use(i.found.projection, i.found.budgets, CONFIG)
-)
+QUERIES["budget_risk_rank"] = lambda i: questions.budget_risk_rank(i.found.budget_use)
 QUERIES["total_waste"] = lambda i: questions.total_waste(i.found.waste_items)
 QUERIES["cluster_job_profile"] = lambda i: questions.cluster_job_profile(
     i.f.hourly, i.t.job_task_run_timeline, i.t.jobs, CLOCK

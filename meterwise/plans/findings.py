@@ -58,17 +58,21 @@ class Findings:
     def budgets(self) -> DataFrame:
         return budget.budget_table(self.tables.spark, self.cfg)
 
+    @cached_property
+    def budget_use(self) -> DataFrame:
+        return budget.budget_use(self.projection, self.budgets, self.cfg)
+
     @cached_property
     def guardrail(self) -> DataFrame:
-        return budget.budget_guardrail(self.projection, self.budgets, self.cfg)
+        return budget.budget_guardrail(self.budget_use)
 
     @cached_property
-    def drivers(self) -> DataFrame:
-        return budget.budget_top_drivers(self.guardrail, self.features.trend, self.clock)
+    def workspace_drivers(self) -> DataFrame:
+        return budget.workspace_top_drivers(self.features.trend, self.clock)
 
     @cached_property
     def budget_alerts(self) -> DataFrame:
-        return budget.budget_alerts(self.projection, self.guardrail, self.drivers)
+        return budget.budget_alerts(self.budget_use, self.workspace_drivers)
 
     @cached_property
     def spike_actions(self) -> DataFrame:

@@ -7,6 +7,7 @@ left out. Times are laid on the days before ``AS_OF``.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -243,10 +244,11 @@ def document_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, directory: str) -> PlatformTables:
+    @cache
     def raw(name: str) -> DataFrame:
         return spark.read.parquet(f"{directory}/{name}.parquet")
 
-    return PlatformTables(
+    tables = PlatformTables(
         spark,
         {
             "usage": lambda: usage(raw("lineitem")),
@@ -255,7 +257,7 @@ def load(spark: SparkSession, directory: str) -> PlatformTables:
             "clusters": lambda: clusters(raw("part")),
             "node_timeline": lambda: node_timeline(raw("events")),
             "job_run_timeline": lambda: job_run_timeline(raw("orders")),
-            "job_task_run_timeline": lambda: job_task_run_timeline(job_run_timeline(raw("orders"))),
+            "job_task_run_timeline": lambda: job_task_run_timeline(tables.job_run_timeline),
             "agent_action_log": lambda: agent_action_log(raw("customer")),
             "agent_conversation": lambda: agent_conversation(raw("conversations")),
             "new_turns": lambda: new_turns(raw("conversations")),
@@ -264,3 +266,4 @@ def load(spark: SparkSession, directory: str) -> PlatformTables:
             "document_vectors": lambda: document_vectors(raw("embeddings")),
         },
     )
+    return tables

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 class PlatformTables:
-    """The logical inputs, read lazily so that a query touches only what it names."""
+    """The logical inputs, planned on first use so that a query touches only what it
+    names, and once, so that its parts share one plan of a table."""
 
     def __init__(self, spark: SparkSession, read: Mapping[str, object]):
         self.spark = spark
@@ -18,7 +19,9 @@ class PlatformTables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._read:
             raise AttributeError(name)
-        return self._read[name]()
+        table = self._read[name]()
+        setattr(self, name, table)
+        return table
 
 
 def from_catalog(spark: SparkSession, names: Mapping[str, str]) -> PlatformTables:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,3 +40,10 @@ def join_in_force(
         )
         joined = salted.join(repeated, [*on, "_slice"]).drop("_slice")
     return joined.where(in_force).drop(start, end)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet each other. ``right`` adds its other columns."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    meets = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, meets, how).drop(*[f"_right_{k}" for k in keys])

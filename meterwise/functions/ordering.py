@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterwise.functions.joins import join_null_safe
+
 
 def previous_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Sequence[str], name: str
@@ -27,7 +29,7 @@ def previous_value(
     )
     inside = keyed.withColumn("_inside", F.lag(current).over(within))
     return (
-        inside.join(carried, [*keys, "_bucket"])
+        join_null_safe(inside, carried, [*keys, "_bucket"])
         .withColumn(name, F.coalesce("_inside", "_carried"))
         .drop("_inside", "_carried", "_bucket")
     )
@@ -43,9 +45,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
         .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = keyed.withColumn("_inside", F.row_number().over(within))
     return (
-        keyed.withColumn("_inside", F.row_number().over(within))
-        .join(offsets, [*keys, "_bucket"])
+        join_null_safe(inside, offsets, [*keys, "_bucket"])
         .withColumn(name, F.col("_offset") + F.col("_inside") - 1)
         .drop("_inside", "_offset", "_bucket")
     )

@@ -141,13 +141,44 @@ def completed_runs(runs: DataFrame, clock: Clock, days: int) -> DataFrame:
     )
 
 
+def run_outcomes(periods: DataFrame) -> DataFrame:
+    """One row per run with flags in place of its state, for queries that only count.
+
+    Flags aggregate by hashing, while the greatest of strings needs a sort of all
+    periods on both sides of the shuffle. ``FAILED`` is the greatest state of a run if
+    it occurs and no greater one does.
+    """
+    state = F.col("result_state")
+    beaten = F.coalesce(F.bool_or(state > "FAILED"), F.lit(False))
+    return periods.groupBy(*RUN_KEY).agg(
+        F.min("period_start_time").alias("run_start"),
+        F.max("period_end_time").alias("run_end"),
+        (F.count(state) > 0).alias("finished"),
+        (F.coalesce(F.bool_or(state == "FAILED"), F.lit(False)) & ~beaten).alias("failed"),
+    )
+
+
+def finished_runs(runs: DataFrame, clock: Clock, days: int) -> DataFrame:
+    """Runs that have a state, from the periods started in the last ``days``."""
+    recent = runs.where(clock.times_since("period_start_time", clock.midnight_ago(days)))
+    return run_outcomes(recent).where("finished").drop("finished")
+
+
+def timed_runs(runs: DataFrame, clock: Clock, days: int) -> DataFrame:
+    """The runs of ``completed_runs`` with a failure flag in place of the state."""
+    plausible = F.col("run_end") >= F.col("run_start")
+    return finished_runs(runs, clock, days).where(plausible).withColumn(
+        "duration_secs", F.timestamp_diff("SECOND", F.col("run_start"), F.col("run_end"))
+    )
+
+
 def job_health(runs: DataFrame, jobs: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
     per_job = (
-        completed_runs(runs, clock, cfg.health_lookback_days)
+        timed_runs(runs, clock, cfg.health_lookback_days)
         .groupBy(*JOB_KEY)
         .agg(
             F.count(F.lit(1)).alias("total_runs"),
-            count_where(F.col("result_state") == "FAILED").alias("failed_runs"),
+            count_where(F.col("failed")).alias("failed_runs"),
             F.avg("duration_secs").alias("avg_duration_secs"),
             F.stddev_samp("duration_secs").alias("stddev_duration"),
             F.max("duration_secs").cast("double").alias("max_duration_secs"),

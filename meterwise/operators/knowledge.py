@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterwise.config import Config
 from meterwise.functions.versioning import newest_version, top_per_key
+from meterwise.session import settle
 
 CONTENT_COLUMNS = ["title", "content", "source", "tags"]
 HITS = "query_id long, doc_id long, score double"
@@ -35,10 +36,14 @@ def index_state(documents: DataFrame) -> DataFrame:
 
 
 def changed_documents(documents: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Documents that the index lacks or has with other content. The comparison moves
-    keys and hashes only; texts meet the changed keys afterwards."""
+    """Documents that the index lacks or has with other content.
+
+    The comparison moves keys and hashes only. The changed keys are written before
+    texts meet them: with their true size known, a few keys are broadcast and no text
+    moves, and many are joined by a shuffle.
+    """
     changed = index_state(documents).join(indexed, ["doc_id", "content_hash"], "left_anti")
-    return documents.join(changed.select("doc_id"), "doc_id", "left_semi")
+    return documents.join(settle(changed.select("doc_id"), "changed-documents"), "doc_id", "left_semi")
 
 
 def documents_by_tag(documents: DataFrame, source: str | None = None, tag: str | None = None) -> DataFrame:

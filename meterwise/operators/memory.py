@@ -51,10 +51,11 @@ def conversation_rows(numbered_turns: DataFrame, clock: Clock) -> DataFrame:
 
 
 def recent_turns(conversation: DataFrame, limit: int = 20, session_id: str | None = None) -> DataFrame:
-    """The last ``limit`` turns of each session, or of one, oldest first."""
-    rows = conversation if session_id is None else conversation.where(F.col("session_id") == session_id)
-    kept = top_per_key(rows, ["session_id"], [F.desc("turn")], limit)
-    return kept.orderBy("session_id", "turn")
+    """The last ``limit`` turns of each session; of one session, oldest first."""
+    if session_id is None:
+        return top_per_key(conversation, ["session_id"], [F.desc("turn")], limit)
+    one = conversation.where(F.col("session_id") == session_id)
+    return one.orderBy(F.desc("turn")).limit(limit).orderBy("turn")
 
 
 def recent_actions_filtered(

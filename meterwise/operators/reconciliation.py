@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meterwise.clock import Clock
 from meterwise.config import Config
 from meterwise.functions.numeric import count_where, steady_round
-from meterwise.operators.features import completed_runs
+from meterwise.operators.features import timed_runs
 from meterwise.operators.reports import cluster_over_provisioned, cost_top_drivers_mtd
 from meterwise.operators.versions import CLUSTER_KEY, JOB_KEY, priced_usage
 
@@ -235,8 +235,8 @@ def health_checks(health: DataFrame, clock: Clock) -> DataFrame:
 
 def run_total_checks(health: DataFrame, runs: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
     """H2 all runs, H3 failed runs: source against feature."""
-    source = completed_runs(runs, clock, cfg.health_lookback_days).agg(
-        F.count(F.lit(1)).alias("src_runs"), count_where(F.col("result_state") == "FAILED").alias("src_failed")
+    source = timed_runs(runs, clock, cfg.health_lookback_days).agg(
+        F.count(F.lit(1)).alias("src_runs"), count_where(F.col("failed")).alias("src_failed")
     )
     feature = health.agg(F.sum("total_runs").alias("fea_runs"), F.sum("failed_runs").alias("fea_failed"))
     failed = F.abs(F.coalesce("src_failed", F.lit(0)) - F.coalesce("fea_failed", F.lit(0)))
@@ -308,11 +308,11 @@ def job_spot_check(
     top = _dearest_jobs(trend, clock, job_id)
     of_top = runs.join(F.broadcast(top.select(*JOB_KEY)), JOB_KEY, "left_semi")  # five rows
     source = (
-        completed_runs(of_top, clock, cfg.health_lookback_days)
+        timed_runs(of_top, clock, cfg.health_lookback_days)
         .groupBy(*JOB_KEY)
         .agg(
             F.count(F.lit(1)).alias("src_runs"),
-            count_where(F.col("result_state") == "FAILED").alias("src_failed"),
+            count_where(F.col("failed")).alias("src_failed"),
             steady_round(F.avg("duration_secs"), 0).cast("long").alias("src_avg_secs"),
         )
     )

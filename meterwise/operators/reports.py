@@ -9,7 +9,7 @@ from meterwise.clock import Clock
 from meterwise.config import Config
 from meterwise.functions.numeric import count_where, ratio, steady_round
 from meterwise.operators.budget import month_usage
-from meterwise.operators.features import job_runs_collapsed
+from meterwise.operators.features import finished_runs
 from meterwise.operators.validation import slow_latest_runs
 from meterwise.operators.versions import CLUSTER_KEY, JOB_KEY, latest_clusters, live_clusters, priced_usage
 
@@ -172,9 +172,8 @@ def job_reliability_overall(health: DataFrame) -> DataFrame:
 
 def job_daily_failure_trend(runs: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
     """Finished runs and failures by the date on which the run started."""
-    finished = job_runs_collapsed(runs, clock, cfg.health_lookback_days).where(F.col("result_state").isNotNull())
-    failed = count_where(F.col("result_state") == "FAILED")
-    return finished.groupBy(F.to_date("run_start").alias("run_date")).agg(
+    failed = count_where(F.col("failed"))
+    return finished_runs(runs, clock, cfg.health_lookback_days).groupBy(F.to_date("run_start").alias("run_date")).agg(
         F.count(F.lit(1)).alias("total_runs"),
         failed.alias("failures"),
         steady_round(failed * 100 / F.count(F.lit(1)), 2).alias("failure_rate_pct"),

@@ -9,7 +9,7 @@ from meterwise.clock import Clock
 from meterwise.config import Config
 from meterwise.functions.numeric import ratio, steady_round
 from meterwise.functions.versioning import top_per_key
-from meterwise.operators.features import completed_runs
+from meterwise.operators.features import timed_runs
 from meterwise.operators.versions import CLUSTER_KEY, JOB_KEY
 
 
@@ -68,7 +68,7 @@ def slow_latest_runs(health: DataFrame, runs: DataFrame, clock: Clock, cfg: Conf
     """Jobs whose latest completed run of the last 7 days lies more than
     ``anomaly_sigma`` deviations above their mean, with unrounded measures."""
     latest = top_per_key(
-        completed_runs(runs, clock, 7), JOB_KEY, [F.desc("run_start"), F.desc("run_id")]
+        timed_runs(runs, clock, 7), JOB_KEY, [F.desc("run_start"), F.desc("run_id")]
     ).select(*JOB_KEY, F.col("duration_secs").alias("latest_secs"))
     threshold = F.col("avg_duration_secs") + cfg.anomaly_sigma * F.col("stddev_duration")
     return (

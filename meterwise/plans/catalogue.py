@@ -73,8 +73,8 @@ class Inputs:
         return Findings(self.settled, self.t, CLOCK, CONFIG)
 
     @cached_property
-    def completed(self) -> DataFrame:
-        return feat.completed_runs(self.t.job_run_timeline, CLOCK, CONFIG.health_lookback_days)
+    def timed(self) -> DataFrame:
+        return feat.timed_runs(self.t.job_run_timeline, CLOCK, CONFIG.health_lookback_days)
 
     def stream(self, table: str) -> DataFrame:
         return file_stream(self.spark, f"{self.directory}/{table}.parquet*")
@@ -126,7 +126,9 @@ QUERIES["job_runs_collapsed"] = lambda i: feat.job_runs_collapsed(
 QUERIES["job_runs_last_state"] = lambda i: feat.job_runs_last_state(
     i.t.job_run_timeline, CLOCK, CONFIG.health_lookback_days
 )
-QUERIES["completed_runs"] = lambda i: i.completed
+QUERIES["completed_runs"] = lambda i: feat.completed_runs(
+    i.t.job_run_timeline, CLOCK, CONFIG.health_lookback_days
+)
 QUERIES["job_health"] = lambda i: rounded(i.f.health.drop("updated_at"), **HEALTH_PLACES)
 QUERIES["underutilized_clusters"] = lambda i: validation.underutilized_clusters(i.f.hourly, CLOCK, CONFIG)
 QUERIES["top_cost_spikes"] = lambda i: validation.top_cost_spikes(
@@ -204,7 +206,7 @@ QUERIES["job_reliability_overall"] = lambda i: reports.job_reliability_overall(i
 QUERIES["job_daily_failure_trend"] = lambda i: reports.job_daily_failure_trend(i.t.job_run_timeline, CLOCK, CONFIG)
 QUERIES["job_most_unreliable"] = lambda i: reports.job_most_unreliable(i.f.health, CONFIG)
 QUERIES["job_sla_breaches"] = lambda i: reports.job_sla_breaches(i.f.health, CONFIG)
-QUERIES["job_sla_breach_runs"] = lambda i: reports.job_sla_breach_runs(i.completed, CONFIG)
+QUERIES["job_sla_breach_runs"] = lambda i: reports.job_sla_breach_runs(i.timed, CONFIG)
 QUERIES["job_duration_anomalies"] = lambda i: reports.job_duration_anomalies(
     i.f.health, i.t.job_run_timeline, CLOCK, CONFIG
 )
@@ -226,7 +228,7 @@ QUERIES["cumulative_vs_budget"] = lambda i: questions.cumulative_vs_budget(
 QUERIES["workspace_spend_rank"] = lambda i: questions.workspace_spend_rank(i.found.daily_spend)
 QUERIES["cluster_resizes"] = lambda i: questions.cluster_resizes(i.t.clusters, CLOCK)
 QUERIES["jobs_above_failure_rate"] = lambda i: questions.jobs_above_failure_rate(i.f.health)
-QUERIES["job_duration_percentiles"] = lambda i: questions.job_duration_percentiles(i.completed)
+QUERIES["job_duration_percentiles"] = lambda i: questions.job_duration_percentiles(i.timed)
 QUERIES["budget_exhaustion_date"] = lambda i: questions.budget_exhaustion_date(
     i.found.projection, i.found.budgets, CLOCK, CONFIG
 )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from meterwise.clock import Clock
 from meterwise.config import Config
+from meterwise.session import settle
 from meterwise.sources.platform import PlatformTables, flat_clusters, flat_prices, flat_usage
 
 AS_OF = datetime(2024, 1, 31)
@@ -32,12 +33,12 @@ def _text(value: Column) -> Column:
     return value.cast("string")
 
 
-def _seconds(count: Column) -> Column:
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), count.cast("decimal(18,6)"))
+def _after(moment: Column, seconds: Column) -> Column:
+    return F.timestamp_add("SECOND", seconds.cast("long"), moment)
 
 
 def _before_as_of(seconds: Column) -> Column:
-    return CLOCK.now - _seconds(seconds)
+    return _after(CLOCK.now, -seconds)
 
 
 def usage(lineitem: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def usage(lineitem: DataFrame) -> DataFrame:
                 F.when(F.col("l_linenumber") != 7, _text(F.col("l_partkey") % 25)).alias("job_id")
             ).alias("usage_metadata"),
             used_on.alias("usage_date"),
-            (used_on.cast("timestamp") + _seconds((F.col("l_suppkey") % 24) * 3600)).alias("usage_start_time"),
+            _after(used_on.cast("timestamp"), (F.col("l_suppkey") % 24) * 3600).alias("usage_start_time"),
             F.col("l_returnflag").alias("sku_name"),
             F.col("l_linestatus").alias("cloud"),
             F.when(F.col("l_linenumber") == 7, "SQL").otherwise("JOBS").alias("billing_origin_product"),
@@ -148,7 +149,7 @@ def job_run_timeline(orders: DataFrame) -> DataFrame:
         _text(customer % 25).alias("job_id"),
         run.alias("run_id"),
         start.alias("period_start_time"),
-        (start + _seconds(duration)).alias("period_end_time"),
+        _after(start, duration).alias("period_end_time"),
         state.alias("result_state"),
     )
 
@@ -252,7 +253,8 @@ def load(spark: SparkSession, directory: str) -> PlatformTables:
         spark,
         {
             "usage": lambda: usage(raw("lineitem")),
-            "list_prices": lambda: list_prices(raw("lineitem")),
+            # Written once, as a price list is a table and not a scan of the usage.
+            "list_prices": lambda: settle(list_prices(raw("lineitem")), "list-prices"),
             "jobs": lambda: jobs(raw("part")),
             "clusters": lambda: clusters(raw("part")),
             "node_timeline": lambda: node_timeline(raw("events")),

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def build_session(app: str, master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str,
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    settings: Mapping[str, str] | None = None,
+) -> SparkSession:
     """A session for tests, benchmarks and scripts. On a cluster, leave ``master``
     and ``shuffle_partitions`` unset: the submit command and AQE decide."""
     builder = (
@@ -24,6 +30,8 @@ def build_session(app: str, master: str | None = None, shuffle_partitions: int |
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (settings or {}).items():
+        builder = builder.config(name, value)
     return builder.getOrCreate()
 
 

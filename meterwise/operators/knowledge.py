@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,8 @@ def upsert_documents(documents: DataFrame, batch: DataFrame, key: str = "doc_id"
     """The corpus after the batch: its rows replace those of equal key, the rest are
     added. Within the batch the newest row of a key wins. Only keys of the batch meet
     the corpus, so a small batch does not make the corpus move."""
-    incoming = newest_version(batch, [key], "updated_at")
-    kept = documents.join(incoming.select(key), key, "left_anti")
-    return kept.unionByName(incoming)
+    kept = documents.join(batch.select(key), key, "left_anti")
+    return kept.unionByName(newest_version(batch, [key], "updated_at"))
 
 
 def content_hash() -> Column:
@@ -70,6 +70,8 @@ def label_centroids(vectors: DataFrame) -> DataFrame:
 
 def _unit_rows(column: pa.Array) -> np.ndarray:
     """A list column as a matrix of unit vectors; a zero vector stays zero."""
+    if len(pc.unique(pc.list_value_length(column))) != 1:
+        raise ValueError("vectors differ in length")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(column), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -160,8 +162,8 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, cfg: Config, k: int =
     a shuffle. Few queries, which a bounded read confirms, travel to the
     tasks; more are searched block by block.
     """
-    documents = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "vector")
-    wanted = queries.select(
+    documents = vectors.where(F.col("vector").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "vector")
+    wanted = queries.where(F.col("vector").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")
     )
     held = wanted.limit(cfg.query_vectors_per_task + 1).toArrow()

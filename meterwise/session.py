@@ -49,8 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; never reused, so a retry cannot mix runs."""
-    return f"{shared_dir(spark)}/meterwise/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; never reused, so a retry cannot mix runs. All
+    paths of one application lie in one folder, to be deleted when it has ended."""
+    return f"{shared_dir(spark)}/meterwise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

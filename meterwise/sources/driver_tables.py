@@ -9,8 +9,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from meterwise.clock import Clock
 from meterwise.config import Config
@@ -20,228 +19,185 @@ from meterwise.sources.platform import PlatformTables, flat_clusters, flat_price
 AS_OF = datetime(2024, 1, 31)
 CLOCK = Clock(AS_OF)
 CONFIG = Config(budgets={"0": 9_000.0, "1": 10_000.0})
+NOW = f"TIMESTAMP '{AS_OF}'"
 
-# Price windows (start, end, base price). The last is open.
-PRICE_WINDOWS = [
-    ("2023-01-01 00:00:00", "2023-10-15 00:00:00", 0.10),
-    ("2023-10-15 00:00:00", "2024-01-15 00:00:00", 0.12),
-    ("2024-01-15 00:00:00", None, 0.15),
-]
 
+def _before(seconds: str) -> str:
+    return f"timestampadd(SECOND, -({seconds}), {NOW})"
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
 
-
-def _after(moment: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds.cast("long"), moment)
-
-
-def _before_as_of(seconds: Column) -> Column:
-    return _after(CLOCK.now, -seconds)
+def _pick(modulus: int, key: str, *values: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"array({listed})[CAST({key} % {modulus} AS INT)]"
 
 
 def usage(lineitem: DataFrame) -> DataFrame:
-    age = ((F.col("l_orderkey") + 31 * F.col("l_linenumber")) % 200).cast("int")
-    used_on = F.date_sub(F.lit("2024-01-30").cast("date"), age)
-    team = F.when(F.col("l_linenumber") <= 2, _text(F.col("l_partkey") % 3))
+    used_on = "date_sub(DATE '2024-01-30', CAST((l_orderkey + 31 * l_linenumber) % 200 AS INT))"
     return flat_usage(
-        lineitem.select(
-            _text(F.col("l_suppkey") % 4).alias("workspace_id"),
-            F.struct(
-                F.when(F.col("l_linenumber") != 7, _text(F.col("l_partkey") % 25)).alias("job_id")
-            ).alias("usage_metadata"),
-            used_on.alias("usage_date"),
-            _after(used_on.cast("timestamp"), (F.col("l_suppkey") % 24) * 3600).alias("usage_start_time"),
-            F.col("l_returnflag").alias("sku_name"),
-            F.col("l_linestatus").alias("cloud"),
-            F.when(F.col("l_linenumber") == 7, "SQL").otherwise("JOBS").alias("billing_origin_product"),
-            F.create_map(F.lit("team"), team).alias("custom_tags"),
-            F.col("l_quantity").alias("usage_quantity"),
+        lineitem.selectExpr(
+            "CAST(l_suppkey % 4 AS STRING) AS workspace_id",
+            "named_struct('job_id', CASE WHEN l_linenumber <> 7 THEN CAST(l_partkey % 25 AS STRING) END)"
+            " AS usage_metadata",
+            f"{used_on} AS usage_date",
+            f"timestampadd(HOUR, l_suppkey % 24, CAST({used_on} AS TIMESTAMP)) AS usage_start_time",
+            "l_returnflag AS sku_name",
+            "l_linestatus AS cloud",
+            "CASE WHEN l_linenumber = 7 THEN 'SQL' ELSE 'JOBS' END AS billing_origin_product",
+            "map('team', CASE WHEN l_linenumber <= 2 THEN CAST(l_partkey % 3 AS STRING) END) AS custom_tags",
+            "l_quantity AS usage_quantity",
         )
     )
 
 
 def list_prices(lineitem: DataFrame) -> DataFrame:
-    products = lineitem.select(
-        F.col("l_returnflag").alias("sku_name"), F.col("l_linestatus").alias("cloud")
-    ).distinct()
-    windows = F.array(
-        *[
-            F.struct(
-                F.lit(start).cast("timestamp").alias("start"),
-                F.lit(end).cast("timestamp").alias("end"),
-                F.lit(base).alias("base"),
-            )
-            for start, end, base in PRICE_WINDOWS
-        ]
-    )
-    surcharge = (F.ascii("sku_name") % 4) / F.lit(100.0)
+    """Three price windows per product, the last of them open."""
+    products = lineitem.selectExpr("l_returnflag AS sku_name", "l_linestatus AS cloud").distinct()
+    windows = """inline(array(
+        struct(TIMESTAMP '2023-01-01 00:00:00', TIMESTAMP '2023-10-15 00:00:00', 0.10D),
+        struct(TIMESTAMP '2023-10-15 00:00:00', TIMESTAMP '2024-01-15 00:00:00', 0.12D),
+        struct(TIMESTAMP '2024-01-15 00:00:00', CAST(NULL AS TIMESTAMP), 0.15D)
+    )) AS (price_start_time, price_end_time, base)"""
     return flat_prices(
-        products.withColumn("w", F.explode(windows)).select(
+        products.selectExpr("sku_name", "cloud", windows).selectExpr(
             "sku_name",
             "cloud",
-            F.col("w.start").alias("price_start_time"),
-            F.col("w.end").alias("price_end_time"),
-            F.struct((F.col("w.base") + surcharge).alias("default")).alias("pricing"),
+            "price_start_time",
+            "price_end_time",
+            "named_struct('default', base + (ascii(sku_name) % 4) / 100.0D) AS pricing",
         )
     )
 
 
 def jobs(part: DataFrame) -> DataFrame:
-    return part.select(
-        _text(F.col("p_partkey") % 4).alias("workspace_id"),
-        _text(F.col("p_partkey") % 25).alias("job_id"),
-        F.col("p_name").alias("name"),
-        _before_as_of((F.col("p_partkey") * 7919) % 15_552_000).alias("change_time"),
+    return part.selectExpr(
+        "CAST(p_partkey % 4 AS STRING) AS workspace_id",
+        "CAST(p_partkey % 25 AS STRING) AS job_id",
+        "p_name AS name",
+        f"{_before('(p_partkey * 7919) % 15552000')} AS change_time",
     )
 
 
 def clusters(part: DataFrame) -> DataFrame:
-    key = F.col("p_partkey")
-    days = (key % 20) * 2 + (key * 7) % 45
+    age = "((p_partkey % 20) * 2 + (p_partkey * 7) % 45) * 86400 + p_partkey % 86400"
     return flat_clusters(
-        part.select(
-            _text(key % 20).alias("cluster_id"),
-            _text(key % 4).alias("workspace_id"),
-            F.col("p_name").alias("cluster_name"),
-            F.when(key % 3 == 0, "UI").otherwise("JOB").alias("cluster_source"),
-            F.col("p_type").alias("worker_node_type"),
-            F.struct(
-                F.greatest(F.lit(1), F.floor(F.col("p_size") / 4).cast("int")).alias("min_workers"),
-                F.col("p_size").alias("max_workers"),
-            ).alias("autoscale"),
-            _before_as_of(days * 86_400 + key % 86_400).alias("change_time"),
-            F.when(key % 7 == 0, CLOCK.now).alias("delete_time"),
+        part.selectExpr(
+            "CAST(p_partkey % 20 AS STRING) AS cluster_id",
+            "CAST(p_partkey % 4 AS STRING) AS workspace_id",
+            "p_name AS cluster_name",
+            "CASE WHEN p_partkey % 3 = 0 THEN 'UI' ELSE 'JOB' END AS cluster_source",
+            "p_type AS worker_node_type",
+            "named_struct('min_workers', greatest(1, p_size div 4), 'max_workers', p_size) AS autoscale",
+            f"{_before(age)} AS change_time",
+            f"CASE WHEN p_partkey % 7 = 0 THEN {NOW} END AS delete_time",
         )
     )
 
 
 def node_timeline(events: DataFrame) -> DataFrame:
-    user = F.col("user_id")
-    return events.select(
-        _text(user % 20).alias("cluster_id"),
-        _text(user % 4).alias("workspace_id"),
-        user.alias("instance_id"),
-        _text(user % 3).alias("node_type"),
-        F.col("ts").cast("timestamp").alias("start_time"),
-        F.least(F.lit(100.0), F.col("value") * (1 + user % 20) / 20.0).alias("cpu_user_percent"),
-        ((F.col("event_id") * 37) % 70).cast("double").alias("mem_used_percent"),
+    return events.selectExpr(
+        "CAST(user_id % 20 AS STRING) AS cluster_id",
+        "CAST(user_id % 4 AS STRING) AS workspace_id",
+        "user_id AS instance_id",
+        "CAST(user_id % 3 AS STRING) AS node_type",
+        "CAST(ts AS TIMESTAMP) AS start_time",
+        "least(100.0D, value * (1 + user_id % 20) / 20.0D) AS cpu_user_percent",
+        "CAST((event_id * 37) % 70 AS DOUBLE) AS mem_used_percent",
     )
 
 
 def job_run_timeline(orders: DataFrame) -> DataFrame:
-    customer, run = F.col("o_custkey"), F.col("o_orderkey")
-    duration = (
-        F.floor("o_totalprice") % 1200
-        + F.when(customer % 25 == 3, 5400).otherwise(0)
-        + F.when((run % 1000 < 48) & (customer % 3 == 0), 9000).otherwise(0)
-    )
-    periods = orders.withColumn("p", F.explode(F.sequence(F.lit(0), (customer % 3).cast("int"))))
-    start = _before_as_of((1 + run % 1000) * 3600 - F.col("p") * 1200)
-    state = (
-        F.when((F.col("p") < customer % 3) | (run % 20 == 1), None)
-        .when(run % (3 + customer % 7) == 0, "FAILED")
-        .otherwise("SUCCEEDED")
-    )
-    return periods.select(
-        _text(customer % 4).alias("workspace_id"),
-        _text(customer % 25).alias("job_id"),
-        run.alias("run_id"),
-        start.alias("period_start_time"),
-        _after(start, duration).alias("period_end_time"),
-        state.alias("result_state"),
+    """Up to three periods for each run, the state in the last of them."""
+    start = _before("(1 + o_orderkey % 1000) * 3600 - p * 1200")
+    duration = """CAST(floor(o_totalprice) AS BIGINT) % 1200
+        + CASE WHEN o_custkey % 25 = 3 THEN 5400 ELSE 0 END
+        + CASE WHEN o_orderkey % 1000 < 48 AND o_custkey % 3 = 0 THEN 9000 ELSE 0 END"""
+    return orders.selectExpr("*", "explode(sequence(0, CAST(o_custkey % 3 AS INT))) AS p").selectExpr(
+        "CAST(o_custkey % 4 AS STRING) AS workspace_id",
+        "CAST(o_custkey % 25 AS STRING) AS job_id",
+        "o_orderkey AS run_id",
+        f"{start} AS period_start_time",
+        f"timestampadd(SECOND, {duration}, {start}) AS period_end_time",
+        """CASE WHEN p < o_custkey % 3 OR o_orderkey % 20 = 1 THEN NULL
+                WHEN o_orderkey % (3 + o_custkey % 7) = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS result_state""",
     )
 
 
 def job_task_run_timeline(runs: DataFrame) -> DataFrame:
-    return runs.select(
+    return runs.selectExpr(
         "workspace_id",
         "job_id",
         "run_id",
-        _text(F.col("run_id") % 20).alias("compute_id"),
+        "CAST(run_id % 20 AS STRING) AS compute_id",
         "period_start_time",
-        F.when(F.col("run_id") % 20 != 1, F.col("period_end_time")).alias("period_end_time"),
+        "CASE WHEN run_id % 20 <> 1 THEN period_end_time END AS period_end_time",
     )
 
 
 def agent_action_log(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-
-    def pick(modulus: int, *values: str) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (key % modulus).cast("int") + 1)
-
-    return customer.select(
-        _text(key).alias("action_id"),
-        _before_as_of((1 + key % 2000) * 3600).alias("action_timestamp"),
-        pick(4, "cost_spike_alert", "cluster_right_sizing", "wasteful_compute_detector", "budget_forecast").alias(
-            "skill_name"
-        ),
-        pick(3, "alert", "recommendation", "auto_remediation").alias("action_type"),
-        _text(key % 4).alias("workspace_id"),
-        _text(key % 25).alias("target_id"),
-        F.col("c_name").alias("target_name"),
-        F.col("c_mktsegment").alias("description"),
-        F.col("c_acctbal").alias("projected_savings"),
-        pick(5, "approved", "applied", "rejected", "proposed", "proposed").alias("status"),
-        F.when(key % 50 == 0, "{bad").otherwise('{"k": 1}').alias("details"),
+    skills = ("cost_spike_alert", "cluster_right_sizing", "wasteful_compute_detector", "budget_forecast")
+    kinds = ("alert", "recommendation", "auto_remediation")
+    statuses = ("approved", "applied", "rejected", "proposed", "proposed")
+    return customer.selectExpr(
+        "CAST(c_custkey AS STRING) AS action_id",
+        f"{_before('(1 + c_custkey % 2000) * 3600')} AS action_timestamp",
+        f"{_pick(4, 'c_custkey', *skills)} AS skill_name",
+        f"{_pick(3, 'c_custkey', *kinds)} AS action_type",
+        "CAST(c_custkey % 4 AS STRING) AS workspace_id",
+        "CAST(c_custkey % 25 AS STRING) AS target_id",
+        "c_name AS target_name",
+        "c_mktsegment AS description",
+        "c_acctbal AS projected_savings",
+        f"{_pick(5, 'c_custkey', *statuses)} AS status",
+        """CASE WHEN c_custkey % 50 = 0 THEN '{bad' ELSE '{"k": 1}' END AS details""",
     )
 
 
 def agent_conversation(conversations: DataFrame) -> DataFrame:
-    return conversations.select(
-        _text(F.col("conv_id")).alias("session_id"),
-        F.col("turn").cast("int").alias("turn"),
-        "role",
-        F.col("text").alias("content"),
+    return conversations.selectExpr(
+        "CAST(conv_id AS STRING) AS session_id", "CAST(turn AS INT) AS turn", "role", "text AS content"
     )
 
 
 def new_turns(conversations: DataFrame) -> DataFrame:
     """Every user message asked once more, ``seq`` being the order of arrival."""
-    return conversations.where(F.col("role") == "user").select(
-        _text(F.col("conv_id")).alias("session_id"),
-        F.col("turn").cast("long").alias("seq"),
-        "role",
-        F.col("text").alias("content"),
+    return conversations.where("role = 'user'").selectExpr(
+        "CAST(conv_id AS STRING) AS session_id", "CAST(turn AS BIGINT) AS seq", "role", "text AS content"
     )
 
 
 def knowledge_docs(documents: DataFrame) -> DataFrame:
-    return documents.select(
-        _text(F.col("doc_id")).alias("doc_id"),
-        F.concat_ws(" ", "lang", "source").alias("title"),
-        F.col("text").alias("content"),
+    return documents.selectExpr(
+        "CAST(doc_id AS STRING) AS doc_id",
+        "concat_ws(' ', lang, source) AS title",
+        "text AS content",
         "source",
-        F.concat_ws(",", "lang", "source").alias("tags"),
-        CLOCK.midnight_ago(1).alias("updated_at"),
+        "concat_ws(',', lang, source) AS tags",
+        f"{NOW} - INTERVAL 1 DAY AS updated_at",
     )
 
 
 def new_documents(documents: DataFrame, labels: DataFrame, benchmark: DataFrame) -> DataFrame:
     """An incoming batch: labelled documents come back with a quality tag, and each
     benchmark item is a new document."""
-    tagged = knowledge_docs(documents).join(
-        labels.select(_text(F.col("doc_id")).alias("doc_id"), "quality"), "doc_id"
+    quality = labels.selectExpr(
+        "CAST(doc_id AS STRING) AS doc_id", "CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS quality"
     )
-    quality = F.when(F.col("quality") == 1, "good").otherwise("poor")
-    known = tagged.select(
-        "doc_id", "title", "content", "source", F.concat_ws(",", "tags", quality).alias("tags"),
-        CLOCK.now.alias("updated_at"),
+    known = knowledge_docs(documents).join(quality, "doc_id").selectExpr(
+        "doc_id", "title", "content", "source", "concat_ws(',', tags, quality) AS tags", f"{NOW} AS updated_at"
     )
-    fresh = benchmark.select(
-        F.concat(F.lit("bench-"), _text(F.col("item_id"))).alias("doc_id"),
-        F.lit("benchmark item").alias("title"),
-        F.col("text").alias("content"),
-        F.lit("benchmark").alias("source"),
-        F.lit("benchmark").alias("tags"),
-        CLOCK.now.alias("updated_at"),
+    fresh = benchmark.selectExpr(
+        "concat('bench-', item_id) AS doc_id",
+        "'benchmark item' AS title",
+        "text AS content",
+        "'benchmark' AS source",
+        "'benchmark' AS tags",
+        f"{NOW} AS updated_at",
     )
     return known.unionByName(fresh)
 
 
 def document_vectors(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    return embeddings.selectExpr("vec_id AS doc_id", "embedding AS vector", "label")
 
 
 def load(spark: SparkSession, directory: str) -> PlatformTables:

@@ -19,10 +19,11 @@ STATE = T.StructType(
 )
 
 
-def _indexed_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+def _indexed_before(spark: SparkSession, path: str, batch_id: int, keys: DataFrame) -> DataFrame:
+    """The last known hash of each of the ``keys``."""
     if batch_id == 0:
         return spark.createDataFrame([], STATE).drop("batch_id")
-    known = batches_before(spark, path, STATE, batch_id)
+    known = batches_before(spark, path, STATE, batch_id).join(keys, "doc_id", "left_semi")
     return top_per_key(known, ["doc_id"], [F.desc("batch_id")]).drop("batch_id")
 
 
@@ -33,7 +34,7 @@ def refresh(documents: DataFrame, feed: str, state: str, checkpoint: str) -> Non
 
     def changed(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = changed_documents(batch, _indexed_before(spark, state, batch_id))
+        rows = changed_documents(batch, _indexed_before(spark, state, batch_id, batch.select("doc_id")))
         write_batch(rows, feed, batch_id)
         written = spark.read.parquet(f"{feed}/batch_id={batch_id}")
         write_batch(index_state(written), state, batch_id)

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.config import Config
+from meterwise.functions.vectors import best_pairs, hit_table, keep_best, unit_rows
 from meterwise.functions.versioning import newest_version, top_per_key
 from meterwise.session import settle
 
@@ -68,55 +68,15 @@ def label_centroids(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _unit_rows(column: pa.Array) -> np.ndarray:
-    """A list column as a matrix of unit vectors; a zero vector stays zero."""
-    if len(pc.unique(pc.list_value_length(column))) != 1:
-        raise ValueError("vectors differ in length")
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(column), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-def _keep_best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k hits of each query with the greatest score, ties by lower document id."""
-    order = np.lexsort((doc, -score, query))
-    query, doc, score = query[order], doc[order], score[order]
-    _, first, per_query = np.unique(query, return_index=True, return_counts=True)
-    kept = np.arange(len(query)) - np.repeat(first, per_query) < k
-    return query[kept], doc[kept], score[kept]
-
-
-def _best_pairs(query_ids: np.ndarray, queries: np.ndarray, doc_ids: np.ndarray, docs: np.ndarray, k: int):
-    scores = queries @ docs.T
-    if scores.shape[1] > k:
-        # Whatever reaches the k-th score is a candidate, so no tie is lost.
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        q, d = np.nonzero(scores >= kth)
-    else:
-        q, d = np.indices(scores.shape).reshape(2, -1)
-    return _keep_best(query_ids[q], doc_ids[d], scores[q, d], k)
-
-
-def _hit_table(query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> pa.Table:
-    return pa.table(
-        {
-            "query_id": pa.array(query, pa.int64()),
-            "doc_id": pa.array(doc, pa.int64()),
-            "score": pa.array(score, pa.float64()),
-        }
-    )
-
-
 def _search_held_queries(documents: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                found = _best_pairs(query_ids, queries, ids, _unit_rows(batch.column("vector")), k)
-                best = _keep_best(*[np.concatenate(pair) for pair in zip(best, found)], k)
-        yield from _hit_table(*best).to_batches()
+                found = best_pairs(query_ids, queries, ids, unit_rows(batch.column("vector")), k)
+                best = keep_best(*[np.concatenate(pair) for pair in zip(best, found)], k)
+        yield from hit_table(*best).to_batches()
 
     return documents.mapInArrow(search, HITS)
 
@@ -140,13 +100,13 @@ def _search_in_blocks(documents: DataFrame, queries: DataFrame, k: int, cfg: Con
 
     def cell(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         if not docs.num_rows or not wanted.num_rows:
-            return _hit_table([], [], [])
-        return _hit_table(
-            *_best_pairs(
+            return hit_table([], [], [])
+        return hit_table(
+            *best_pairs(
                 wanted["query_id"].to_numpy(),
-                _unit_rows(wanted["vector"].combine_chunks()),
+                unit_rows(wanted["vector"].combine_chunks()),
                 docs["doc_id"].to_numpy(),
-                _unit_rows(docs["vector"].combine_chunks()),
+                unit_rows(docs["vector"].combine_chunks()),
                 k,
             )
         )
@@ -170,7 +130,7 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, cfg: Config, k: int =
     if held.num_rows > cfg.query_vectors_per_task:
         hits = _search_in_blocks(documents, wanted, k, cfg)
     elif held.num_rows:
-        ids, matrix = held["query_id"].to_numpy(), _unit_rows(held["vector"].combine_chunks())
+        ids, matrix = held["query_id"].to_numpy(), unit_rows(held["vector"].combine_chunks())
         hits = _search_held_queries(documents, ids, matrix, k)
     else:
         hits = vectors.sparkSession.createDataFrame([], HITS)

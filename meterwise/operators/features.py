@@ -17,31 +17,33 @@ RUN_KEY = [*JOB_KEY, "run_id"]
 # --- hourly cluster utilisation ------------------------------------------------
 
 
-def node_hours(samples: DataFrame, hour: Column) -> DataFrame:
-    """One row per node and hour with mergeable sums. A busy cluster is spread over
-    its nodes here, and about sixty samples become one row before the distinct
-    counts, which Spark evaluates by repeating rows."""
-    return samples.groupBy(*CLUSTER_KEY, hour.alias("hour_window"), "instance_id", "node_type").agg(
+def _sums() -> list[Column]:
+    """Mergeable sums of samples."""
+    return [
         F.sum("cpu_user_percent").alias("cpu_sum"),
         F.count("cpu_user_percent").alias("cpu_n"),
         F.max("cpu_user_percent").alias("cpu_max"),
         F.sum("mem_used_percent").alias("mem_sum"),
         F.count("mem_used_percent").alias("mem_n"),
         F.max("mem_used_percent").alias("mem_max"),
-    )
+    ]
 
 
-def merge_node_hours(partials: DataFrame) -> DataFrame:
-    """Cluster hours from node hours."""
+def _cluster_hours(partials: DataFrame, use: Column, node_count: Column, node_type_count: Column) -> DataFrame:
+    """Merge the partial sums for which ``use`` holds into one row per cluster and hour."""
+
+    def used(column: str) -> Column:
+        return F.when(use, F.col(column))
+
     merged = partials.groupBy(*HOUR_KEY).agg(
-        F.sum("cpu_sum").alias("cpu_sum"),
-        F.sum("cpu_n").alias("cpu_n"),
-        F.max("cpu_max").alias("peak_cpu_pct"),
-        F.sum("mem_sum").alias("mem_sum"),
-        F.sum("mem_n").alias("mem_n"),
-        F.max("mem_max").alias("peak_mem_pct"),
-        F.count_distinct("instance_id").alias("node_count"),
-        F.count_distinct("node_type").alias("node_type_count"),
+        F.sum(used("cpu_sum")).alias("cpu_sum"),
+        F.sum(used("cpu_n")).alias("cpu_n"),
+        F.max(used("cpu_max")).alias("peak_cpu_pct"),
+        F.sum(used("mem_sum")).alias("mem_sum"),
+        F.sum(used("mem_n")).alias("mem_n"),
+        F.max(used("mem_max")).alias("peak_mem_pct"),
+        node_count.alias("node_count"),
+        node_type_count.alias("node_type_count"),
     )
     return merged.select(
         *HOUR_KEY,
@@ -55,8 +57,33 @@ def merge_node_hours(partials: DataFrame) -> DataFrame:
 
 
 def cluster_hourly_utilization(nodes: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
+    """Two distinct counts beside sums, by two grouping sets: hours per node, which carry
+    the sums, and hours per node type. Both shrink before the shuffle, a busy cluster is
+    spread over its nodes, and each count is then a count of groups."""
     recent = nodes.where(clock.times_since("start_time", clock.midnight_ago(cfg.utilization_days)))
-    return merge_node_hours(node_hours(recent, F.date_trunc("hour", "start_time")))
+    samples = recent.withColumn("hour_window", F.date_trunc("hour", "start_time"))
+    key = [F.col(c) for c in HOUR_KEY]
+    node, kind = F.col("instance_id"), F.col("node_type")
+    groups = samples.groupingSets([[*key, node], [*key, kind]], *key, node, kind).agg(
+        (F.grouping("instance_id") == 0).alias("per_node"), *_sums()
+    )
+    per_node = F.col("per_node")
+    return _cluster_hours(
+        groups, per_node, count_where(per_node & node.isNotNull()), count_where(~per_node & kind.isNotNull())
+    )
+
+
+def node_hours(samples: DataFrame, hour: Column) -> DataFrame:
+    """One row per node, node type and hour, which a stream can emit and batches can
+    merge later."""
+    return samples.groupBy(*CLUSTER_KEY, hour.alias("hour_window"), "instance_id", "node_type").agg(*_sums())
+
+
+def merge_node_hours(partials: DataFrame) -> DataFrame:
+    """Cluster hours from node hours."""
+    return _cluster_hours(
+        partials, F.lit(True), F.count_distinct("instance_id"), F.count_distinct("node_type")
+    )
 
 
 # --- daily job cost and its trend ------------------------------------------------

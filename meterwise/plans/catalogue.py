@@ -182,7 +182,7 @@ QUERIES["spend_by_tag"] = lambda i: budget.spend_by_tag(i.t.usage, i.t.list_pric
 QUERIES["budget_guardrail"] = lambda i: rounded(i.found.guardrail, budget_pct=4)
 QUERIES["budget_top_drivers"] = lambda i: budget.budget_top_drivers(i.found.guardrail, i.found.workspace_drivers)
 QUERIES["budget_actions"] = lambda i: i.found.budget_actions.drop("details")
-QUERIES["alerts"] = lambda i: i.found_in_settled.alerts
+QUERIES["alerts"] = lambda i: i.found_in_settled.alerts.withColumn("details", F.to_json("details"))
 QUERIES["all_actions"] = lambda i: i.found_in_settled.all_actions.drop("details")
 
 # --- reports --------------------------------------------------------------------------

@@ -22,6 +22,10 @@ def whole(value: str) -> str:
     return f"CAST(floor({value} + 0.5 + 1e-9) AS BIGINT)"
 
 
+def dollars(value: str) -> str:
+    return f"'$' || format('{{:,}}', {whole(value)})"
+
+
 def days(n: int) -> str:
     return f"({TODAY} - {n})"
 
@@ -646,6 +650,19 @@ SQL = {
     "budget_top_drivers": "FROM drivers",
     "budget_actions": "FROM budget_actions",
     "all_actions": "FROM all_actions",
+    "alerts": f"""
+        SELECT 'Budget Alert: ' || {whole('budget_pct')} || '% of Budget' AS title, description AS message, severity,
+               CAST(json_object('Workspace', workspace_id, 'MTD Spend', {dollars('mtd_spend')},
+                                'Projected', {dollars('linear_projection')}, 'Budget', {dollars('budget')}) AS VARCHAR)
+                 AS details
+        FROM budget_alerts
+        UNION ALL
+        SELECT 'Wasteful Compute Report',
+               'Found ' || n || ' optimization(s). Top 5 save ~$' || {whole('s')} || '/week.', 'warning',
+               CAST(json_object('Total items', CAST(n AS VARCHAR), 'Est. weekly savings', '$' || {whole('s')})
+                 AS VARCHAR)
+        FROM (SELECT (SELECT count(*) FROM waste) AS n, (SELECT sum(weekly_savings) FROM top_waste) AS s)
+        WHERE n > 0""",
     "cost_monthly_summary": f"""
         SELECT date_trunc('month', CAST(usage_date AS TIMESTAMP)) AS month, {r('sum(cost_usd)', 2)} AS total_spend_usd,
                count(DISTINCT workspace_id) AS workspaces, count(DISTINCT job_id) AS unique_jobs

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class PlatformTables:
     """The logical inputs, planned on first use so that a query touches only what it
     names, and once, so that its parts share one plan of a table."""
 
-    def __init__(self, spark: SparkSession, read: Mapping[str, object]):
+    def __init__(self, spark: SparkSession, read: Mapping[str, Callable[[], DataFrame]]):
         self.spark = spark
         self._read = read
 
@@ -24,17 +25,31 @@ class PlatformTables:
         return table
 
 
+def _native(spark: SparkSession, sources: Mapping[str, str], read: Callable[[str], DataFrame]) -> PlatformTables:
+    shape = {"usage": flat_usage, "list_prices": flat_prices, "clusters": flat_clusters}
+
+    def reader(logical: str, source: str) -> Callable[[], DataFrame]:
+        return lambda: shape.get(logical, lambda df: df)(read(source))
+
+    return PlatformTables(spark, {logical: reader(logical, source) for logical, source in sources.items()})
+
+
 def from_catalog(spark: SparkSession, names: Mapping[str, str]) -> PlatformTables:
-    """``names`` maps a logical table (``usage``, ``list_prices``, ``jobs``, ...) to a
-    catalog table."""
-    shape = {
-        "usage": flat_usage, "list_prices": flat_prices, "clusters": flat_clusters,
-    }
+    """``names`` maps a logical table (``usage``, ``list_prices``, ``jobs``, ``clusters``,
+    ``node_timeline``, ``job_run_timeline``, ``job_task_run_timeline``, ...) to a catalog
+    table in its native form."""
+    return _native(spark, names, spark.table)
+
+
+def from_parquet(spark: SparkSession, paths: Mapping[str, str]) -> PlatformTables:
+    """As ``from_catalog``, from parquet folders."""
+    return _native(spark, paths, spark.read.parquet)
 
-    def reader(logical: str, table: str):
-        return lambda: shape.get(logical, lambda df: df)(spark.table(table))
 
-    return PlatformTables(spark, {logical: reader(logical, table) for logical, table in names.items()})
+def from_rows(spark: SparkSession, rows: Iterable[tuple], schema: StructType | str) -> DataFrame:
+    """A few rows made by a program, such as one turn or one action, under a declared
+    schema; nothing is inferred."""
+    return spark.createDataFrame(list(rows), schema)
 
 
 def flat_usage(usage: DataFrame) -> DataFrame:

@@ -95,6 +95,16 @@ def score_of(a, b):
     return a @ b / n if n else 0.0
 
 
+def test_vectors_of_other_length_are_refused_and_null_ones_skipped(spark, cfg):
+    query = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
+    schema = "doc_id long, vector array<float>"
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], schema).coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        knowledge.semantic_topk(mixed, query, cfg).collect()
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], schema)
+    assert rows_of(knowledge.semantic_topk(some, query, cfg), "doc_id") == [(1,)]
+
+
 def test_no_queries_give_no_hits(spark, cfg):
     docs = spark.createDataFrame([(1, [1.0])], "doc_id long, vector array<float>")
     none = spark.createDataFrame([], "query_id long, vector array<float>")

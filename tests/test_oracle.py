@@ -23,9 +23,8 @@ def duck():
     return connection
 
 
-def test_every_oracle_has_a_query_and_only_alerts_has_none():
-    assert set(QUERIES) - set(ORACLE) == {"alerts"}
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -43,11 +42,3 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert driver.entry(spark).limit(1).count() == 1
-
-
-def test_alerts_have_text_and_severity(spark):
-    rows = QUERIES["alerts"](spark, FOLDER).collect()
-    assert rows
-    assert all(r["title"] and r["message"] and r["severity"] in ("warning", "critical") for r in rows)
-    waste = [r for r in rows if r["title"] == "Wasteful Compute Report"]
-    assert len(waste) == 1 and set(waste[0]["details"]) == {"Total items", "Est. weekly savings"}

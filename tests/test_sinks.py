@@ -10,7 +10,7 @@ from meterwise.plans.features import StoredFeatures
 from meterwise.session import settle
 from meterwise.sinks import tables as sink
 from meterwise.sources.driver_tables import CLOCK, CONFIG, load
-from meterwise.sources.platform import from_catalog
+from meterwise.sources.platform import from_catalog, from_parquet, from_rows
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +92,15 @@ def test_catalog_source_reads_named_tables(spark, database):
     assert tables.jobs.count() == 1
     with pytest.raises(AttributeError):
         tables.unknown
+
+
+def test_parquet_source_and_rows(spark, tmp_path):
+    row = ("c", "s", "2024-01-01", None, (0.5,))
+    prices = from_rows(
+        spark, [row],
+        "cloud string, sku_name string, price_start_time string, price_end_time string, pricing struct<default:double>",
+    )
+    prices.write.parquet(str(tmp_path / "prices"))
+    tables = from_parquet(spark, {"list_prices": str(tmp_path / "prices")})
+    assert tables.list_prices.first()["unit_price"] == 0.5
+    assert tables.list_prices is tables.list_prices

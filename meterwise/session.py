@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,13 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see. The cluster names it in
     ``spark.checkpoint.dir``; only where that is unset (a local test) is a
     temporary one made."""
-    configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="meterwise-")
-        spark.conf.set(CHECKPOINT_DIR, configured)
-    return configured.rstrip("/")
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
+    if configured:
+        return configured.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
+    return _local_dir(context.applicationId)
+
+
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"meterwise-{application}-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

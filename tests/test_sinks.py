@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from meterwise import schemas
 from meterwise.plans import refresh
 from meterwise.plans.features import StoredFeatures
-from meterwise.session import settle
+from meterwise.session import CHECKPOINT_DIR, settle, shared_dir
 from meterwise.sinks import tables as sink
 from meterwise.sources.driver_tables import CLOCK, CONFIG, load
 from meterwise.sources.platform import from_catalog, from_parquet, from_rows
@@ -26,6 +28,21 @@ def test_settle_keeps_rows_and_schema(spark):
     assert rows_of(again) == rows_of(df)
 
 
+def session_double(master, folder=None):
+    settings = {CHECKPOINT_DIR: folder} if folder else {}
+    get = lambda name, default=None: settings.get(name, default)
+    context = SimpleNamespace(master=master, applicationId="app-1", getConf=lambda: SimpleNamespace(get=get))
+    return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=context)
+
+
+def test_shared_folder_is_the_configured_one_and_local_only_in_tests():
+    assert shared_dir(session_double("yarn", "hdfs://store/shared/")) == "hdfs://store/shared"
+    local = session_double("local[2]")
+    assert shared_dir(local) == shared_dir(local) != ""
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session_double("yarn"))
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")

@@ -22,7 +22,7 @@ from meterwise.llm.arrow import sums_by_row, text_slices
 UNKNOWN = "und"
 MARK = "▁"  # begins a word, as in the vocabulary
 LONGEST_WORD = 32  # longer runs of letters are scored in parts of this length
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 @dataclass(frozen=True)

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from meterwise.llm.arrow import gather_runs, list_array, sums_by_row, text_slices, worker_state
 
-# Units that a worker remembers before it starts anew: some 60 MB.
-MEMO_UNITS = 1_000_000
+# Units that a worker remembers before it starts anew: some 25 MB.
+MEMO_UNITS = 400_000
 CUT = "\x01"
 # White space and other characters on which tokenizers disagree: nothing is cut beside them.
 SPACES = r"\x00-\x20\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"
@@ -66,6 +66,7 @@ class UnitEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and each row's number of ids."""
         parts = [self._encode_slice(x) for x in text_slices(texts)]
+        pa.default_memory_pool().release_unused()
         if not parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])

@@ -114,13 +114,21 @@ def toxicity_score(lexicon: Lexicon, text: Column) -> Column:
     return x / (x + F.lit(lexicon.cut))
 
 
-def beginnings(texts: Iterable[str], plan: LexiconPlan, known: frozenset[str] | None) -> Counter:
-    """In how many texts each word beginning occurs; only ``known`` ones if given."""
+# Entries that a task holds before it passes their counts on.
+HELD_ENTRIES = 100_000
+
+
+def beginnings(texts: Iterable[str], plan: LexiconPlan, known: frozenset[str] | None) -> Iterator[Counter]:
+    """In how many texts each word beginning occurs, in parts to be summed; only ``known``
+    ones if given."""
     counts: Counter = Counter()
     for text in texts:
         found = {w[:n] for w in set(folded(text).split()) for n in range(plan.shortest, min(len(w), plan.longest) + 1)}
         counts.update(found if known is None else found & known)
-    return counts
+        if len(counts) > HELD_ENTRIES:
+            yield counts
+            counts = Counter()
+    yield counts
 
 
 def document_frequencies(docs: DataFrame, plan: LexiconPlan, known: frozenset[str] | None = None) -> DataFrame:
@@ -128,8 +136,9 @@ def document_frequencies(docs: DataFrame, plan: LexiconPlan, known: frozenset[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = beginnings((t for part in text_slices(batch.column(0)) for t in part.to_pylist()), plan, known)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
+            for counts in beginnings((t for part in text_slices(batch.column(0)) for t in part.to_pylist()), plan, known):
+                columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["entry", "n"])
 
     return docs.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("documents"))
 

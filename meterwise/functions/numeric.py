@@ -4,12 +4,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Sums and means of doubles differ in their last bits with the order in which
-# partitions arrive; the nudge keeps a value at a rounding tie from tipping.
+# partitions arrive; the nudge, away from zero and no less than some of those bits, keeps a
+# value at a rounding tie from tipping.
 TIE_NUDGE = 1e-9
+RELATIVE_NUDGE = 1e-13
 
 
 def steady_round(value: Column, places: int) -> Column:
-    return F.round(value + F.lit(TIE_NUDGE), places)
+    nudge = F.greatest(F.lit(TIE_NUDGE), F.abs(value) * F.lit(RELATIVE_NUDGE))
+    return F.round(value + F.signum(value) * nudge, places)
 
 
 def whole_number(value: Column) -> Column:

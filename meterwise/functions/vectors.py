@@ -13,6 +13,10 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Sums of products differ in their last bits with the shape of the matrices.
+SCORE_PLACES = 9
+
+
 def unit_rows(column: pa.Array) -> np.ndarray:
     """A list column as a matrix of unit vectors; a zero vector stays zero."""
     if len(pc.unique(pc.list_value_length(column))) != 1:
@@ -33,7 +37,7 @@ def keep_best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) ->
 
 
 def best_pairs(query_ids: np.ndarray, queries: np.ndarray, doc_ids: np.ndarray, docs: np.ndarray, k: int):
-    scores = queries @ docs.T
+    scores = np.round(queries @ docs.T, SCORE_PLACES)
     if scores.shape[1] > k:
         # Whatever reaches the k-th score is a candidate, so no tie is lost.
         kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
@@ -43,11 +47,21 @@ def best_pairs(query_ids: np.ndarray, queries: np.ndarray, doc_ids: np.ndarray,
     return keep_best(query_ids[q], doc_ids[d], scores[q, d], k)
 
 
-def hit_table(query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> pa.Table:
+def id_type(kind: str) -> pa.DataType:
+    return pa.int64() if kind == "long" else pa.string()
+
+
+def plain_ids(column: pa.Array) -> np.ndarray:
+    """Ids that numpy can order: whole numbers, or text by code point."""
+    ids = column.to_numpy(zero_copy_only=False)
+    return ids.astype(np.int64) if pa.types.is_integer(column.type) else ids.astype(str)
+
+
+def hit_table(query: np.ndarray, doc: np.ndarray, score: np.ndarray, doc_type: pa.DataType) -> pa.Table:
     return pa.table(
         {
             "query_id": pa.array(query, pa.int64()),
-            "doc_id": pa.array(doc, pa.int64()),
+            "doc_id": pa.array(list(doc), doc_type),
             "score": pa.array(score, pa.float64()),
         }
     )

@@ -10,18 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.config import Config
-from meterwise.functions.vectors import best_pairs, hit_table, keep_best, unit_rows
+from meterwise.functions.vectors import best_pairs, hit_table, id_type, keep_best, plain_ids, unit_rows
 from meterwise.functions.versioning import newest_version, top_per_key
 from meterwise.session import settle
 
 CONTENT_COLUMNS = ["title", "content", "source", "tags"]
-HITS = "query_id long, doc_id long, score double"
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _hits(kind: str) -> str:
+    return f"query_id long, doc_id {kind}, score double"
 
 
 def upsert_documents(documents: DataFrame, batch: DataFrame, key: str = "doc_id") -> DataFrame:
     """The corpus after the batch: its rows replace those of equal key, the rest are
     added. Within the batch the newest row of a key wins. Only keys of the batch meet
-    the corpus, so a small batch does not make the corpus move."""
+    the corpus, so a small batch does not make the corpus move. A null key in the batch is
+    an error when the rows are read."""
+    refused = F.raise_error(F.lit(f"a document without {key} cannot be upserted"))
+    batch = batch.withColumn(key, F.coalesce(F.col(key), refused))
     kept = documents.join(batch.select(key), key, "left_anti")
     return kept.unionByName(newest_version(batch, [key], "updated_at"))
 
@@ -68,20 +75,22 @@ def label_centroids(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _search_held_queries(documents: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def _search_held_queries(
+    documents: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, kind: str
+) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        best = (np.empty(0, np.int64), plain_ids(pa.array([], id_type(kind))), np.empty(0))
         for batch in batches:
             if batch.num_rows:
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = plain_ids(batch.column("doc_id"))
                 found = best_pairs(query_ids, queries, ids, unit_rows(batch.column("vector")), k)
                 best = keep_best(*[np.concatenate(pair) for pair in zip(best, found)], k)
-        yield from hit_table(*best).to_batches()
+        yield from hit_table(*best, id_type(kind)).to_batches()
 
-    return documents.mapInArrow(search, HITS)
+    return documents.mapInArrow(search, _hits(kind))
 
 
-def _search_in_blocks(documents: DataFrame, queries: DataFrame, k: int, cfg: Config) -> DataFrame:
+def _search_in_blocks(documents: DataFrame, queries: DataFrame, k: int, cfg: Config, kind: str) -> DataFrame:
     """Many queries: a grid of query blocks and document slices, one cell per group.
     Both sides are cut by hash, so cells are of even, bounded size and nothing passes
     through the driver."""
@@ -100,18 +109,19 @@ def _search_in_blocks(documents: DataFrame, queries: DataFrame, k: int, cfg: Con
 
     def cell(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         if not docs.num_rows or not wanted.num_rows:
-            return hit_table([], [], [])
+            return hit_table([], [], [], id_type(kind))
         return hit_table(
             *best_pairs(
                 wanted["query_id"].to_numpy(),
                 unit_rows(wanted["vector"].combine_chunks()),
-                docs["doc_id"].to_numpy(),
+                plain_ids(docs["doc_id"].combine_chunks()),
                 unit_rows(docs["vector"].combine_chunks()),
                 k,
-            )
+            ),
+            id_type(kind),
         )
 
-    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(cell, HITS)
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(cell, _hits(kind))
 
 
 def semantic_topk(vectors: DataFrame, queries: DataFrame, cfg: Config, k: int = 4) -> DataFrame:
@@ -119,21 +129,23 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, cfg: Config, k: int =
 
     ``queries`` is (query_id, vector). Each task scores its documents against all
     queries as a matrix product and passes on ``k`` hits per query, so pairs never reach
-    a shuffle. Few queries, which a bounded read confirms, travel to the
+    a shuffle. ``doc_id`` keeps its kind, number or text. Scores are rounded to nine places,
+    so that copies tie by id whatever the shape of a product. Few queries, which a bounded read confirms, travel to the
     tasks; more are searched block by block.
     """
-    documents = vectors.where(F.col("vector").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "vector")
+    kind = "long" if dict(vectors.dtypes)["doc_id"] in WHOLE_NUMBERS else "string"
+    documents = vectors.where(F.col("vector").isNotNull()).select(F.col("doc_id").cast(kind).alias("doc_id"), "vector")
     wanted = queries.where(F.col("vector").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")
     )
     held = wanted.limit(cfg.query_vectors_per_task + 1).toArrow()
     if held.num_rows > cfg.query_vectors_per_task:
-        hits = _search_in_blocks(documents, wanted, k, cfg)
+        hits = _search_in_blocks(documents, wanted, k, cfg, kind)
     elif held.num_rows:
         ids, matrix = held["query_id"].to_numpy(), unit_rows(held["vector"].combine_chunks())
-        hits = _search_held_queries(documents, ids, matrix, k)
+        hits = _search_held_queries(documents, ids, matrix, k, kind)
     else:
-        hits = vectors.sparkSession.createDataFrame([], HITS)
+        hits = vectors.sparkSession.createDataFrame([], _hits(kind))
     ranked = top_per_key(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, rank="rank")
     return ranked.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -141,7 +153,8 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, cfg: Config, k: int =
 def semantic_search(
     documents: DataFrame, vectors: DataFrame, queries: DataFrame, cfg: Config, k: int = 4
 ) -> DataFrame:
-    """The hits of ``semantic_topk`` with their document fields."""
+    """The hits of ``semantic_topk`` with their document fields. Ids meet as text, so that
+    numbers find documents whose ids are text."""
     hits = semantic_topk(vectors, queries, cfg, k)
-    fields = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "content", "source", "tags")
-    return hits.join(fields, "doc_id", "left")
+    fields = documents.select(F.col("doc_id").cast("string").alias("_id"), "title", "content", "source", "tags")
+    return hits.withColumn("_id", F.col("doc_id").cast("string")).join(fields, "_id", "left").drop("_id")

@@ -15,8 +15,9 @@ TURNS_PER_BUCKET = 10_000
 
 def assign_turns(conversation: DataFrame, new: DataFrame) -> DataFrame:
     """Number new rows on from each session's last turn, in the order of ``seq``; a new
-    session starts at 0. One batch has one writer, so numbers cannot collide."""
-    last = conversation.groupBy("session_id").agg(F.max("turn").alias("_last"))
+    session starts at 0. Only the batch's sessions are read from the log. One batch has one writer, so numbers cannot collide."""
+    known = conversation.join(new.select("session_id").distinct(), "session_id", "left_semi")
+    last = known.groupBy("session_id").agg(F.max("turn").alias("_last"))
     placed = numbered(new, ["session_id"], ["seq"], F.floor(F.col("seq") / TURNS_PER_BUCKET), "_position")
     turn = F.coalesce("_last", F.lit(-1)) + 1 + F.col("_position")
     return (

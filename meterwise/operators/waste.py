@@ -137,7 +137,7 @@ def waste_actions(top: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
         description=F.col("description"),
         savings=F.col("weekly_savings") * cfg.weeks_per_month,
         details=F.to_json(F.struct("category", "weekly_savings")),
-        identity=(F.col("category"), F.col("rank")),
+        identity=(F.col("category"), F.col("target")),
     )
 
 

@@ -132,7 +132,7 @@ QUERIES["completed_runs"] = lambda i: feat.completed_runs(
 QUERIES["job_health"] = lambda i: rounded(i.f.health.drop("updated_at"), **HEALTH_PLACES)
 QUERIES["underutilized_clusters"] = lambda i: validation.underutilized_clusters(i.f.hourly, CLOCK, CONFIG)
 QUERIES["top_cost_spikes"] = lambda i: validation.top_cost_spikes(
-    rounded(i.f.trend, **TREND_PLACES), CLOCK, CONFIG
+    i.f.trend, CLOCK, CONFIG
 )
 QUERIES["unreliable_jobs"] = lambda i: validation.unreliable_jobs(i.f.health, CONFIG)
 QUERIES["latest_run_anomalies"] = lambda i: validation.latest_run_anomalies(

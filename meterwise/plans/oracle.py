@@ -15,7 +15,7 @@ MONTH = "DATE '2024-01-01'"
 
 
 def r(value: str, places: int) -> str:
-    return f"round({value} + 1e-9, {places})"
+    return f"round({value} + sign({value}) * greatest(1e-9, abs({value}) * 1e-13), {places})"
 
 
 def whole(value: str) -> str:
@@ -379,7 +379,7 @@ CTES |= {
     ),
     "waste_actions": action(
         "top_waste", "wasteful_compute_detector", "recommendation", "target_id", "target", "description",
-        "weekly_savings * 4.3E0", "category", "rank",
+        "weekly_savings * 4.3E0", "category", "target",
     ),
     "budget_actions": action(
         "budget_alerts", "budget_forecast", "alert", "workspace_id", "'Workspace ' || workspace_id", "description",
@@ -407,8 +407,7 @@ CTES |= {
         SELECT n.session_id, n.role, n.content,
                CAST(coalesce(l.turn, -1) + row_number() OVER (PARTITION BY n.session_id ORDER BY n.turn) AS INT) AS turn
         FROM agent_conversation n
-        LEFT JOIN (SELECT session_id, max(turn) AS turn FROM agent_conversation GROUP BY ALL) l USING (session_id)
-        WHERE n.role = 'user'""",
+        LEFT JOIN (SELECT session_id, max(turn) AS turn FROM agent_conversation GROUP BY ALL) l USING (session_id)""",
     # Reconciliation.
     "last_day_hours": f"SELECT * FROM hourly WHERE hour_window BETWEEN {days(1)} AND {AS_OF}",
     "last_day_nodes": f"SELECT * FROM node_timeline WHERE start_time BETWEEN {days(1)} AND {AS_OF}",
@@ -583,7 +582,7 @@ SQL = {
     "top_cost_spikes": f"""
         SELECT workspace_id, job_id, job_name, usage_date, {r('daily_cost_usd', 2)} AS daily_cost,
                {r('rolling_14d_avg', 2)} AS avg_14d, {r('cost_growth_pct * 100', 1)} AS growth_pct
-        FROM trend4 WHERE usage_date BETWEEN {days(7)} AND {TODAY} AND cost_growth_pct > 0.25
+        FROM trend WHERE usage_date BETWEEN {days(7)} AND {TODAY} AND cost_growth_pct > 0.25
         ORDER BY cost_growth_pct DESC, workspace_id, job_id, usage_date LIMIT 20""",
     "unreliable_jobs": f"""
         SELECT workspace_id, job_id, job_name, total_runs, failed_runs,
@@ -859,8 +858,7 @@ SQL = {
                  avg(cpu_user_percent) AS avg_cpu_pct, max(cpu_user_percent) AS peak_cpu_pct,
                  avg(mem_used_percent) AS avg_mem_pct, max(mem_used_percent) AS peak_mem_pct,
                  count(DISTINCT instance_id) AS node_count, count(DISTINCT node_type) AS node_type_count
-          FROM node_timeline GROUP BY ALL)
-        WHERE hour_window + INTERVAL 1 HOUR <= (SELECT max(start_time) FROM node_timeline) - INTERVAL 2 HOUR""",
+          FROM node_timeline GROUP BY ALL)""",
     "stream_runs_collapsed": """
         SELECT workspace_id, job_id, run_id, min(period_start_time) AS run_start, max(period_end_time) AS run_end,
                max(result_state) AS result_state FROM job_run_timeline GROUP BY ALL""",

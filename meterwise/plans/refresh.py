@@ -8,6 +8,7 @@ from meterwise import schemas
 from meterwise.clock import Clock
 from meterwise.config import Config
 from meterwise.operators import reports as r
+from meterwise.operators.actions import without_repeats
 from meterwise.operators.reconciliation import reconcile
 from meterwise.plans.features import Features, StoredFeatures
 from meterwise.plans.findings import Findings
@@ -36,9 +37,14 @@ def log_reconciliation(
 
 
 def log_findings(features, tables: PlatformTables, database: str, clock: Clock, cfg: Config) -> None:
-    """Append the action rows of all four findings."""
+    """Append the action rows of all four findings that the log does not have yet. Ids
+    name skill, target and day, so a repeated refresh adds nothing."""
     found = Findings(features, tables, clock, cfg)
-    append_rows(found.all_actions, f"{database}.agent_action_log", schemas.ACTION_LOG)
+    log = f"{database}.agent_action_log"
+    rows = without_repeats(found.all_actions)
+    if rows.sparkSession.catalog.tableExists(log):
+        rows = rows.join(rows.sparkSession.table(log).select("action_id"), "action_id", "left_anti")
+    append_rows(rows, log, schemas.ACTION_LOG)
 
 
 def report_views(features, tables: PlatformTables, clock: Clock, cfg: Config) -> dict[str, DataFrame]:

@@ -159,8 +159,8 @@ def agent_conversation(conversations: DataFrame) -> DataFrame:
 
 
 def new_turns(conversations: DataFrame) -> DataFrame:
-    """Every user message asked once more, ``seq`` being the order of arrival."""
-    return conversations.where("role = 'user'").selectExpr(
+    """Every message once more, ``seq`` being the order of arrival."""
+    return conversations.selectExpr(
         "CAST(conv_id AS STRING) AS session_id", "CAST(turn AS BIGINT) AS seq", "role", "text AS content"
     )
 

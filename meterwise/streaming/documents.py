@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterwise.functions.versioning import top_per_key
+from meterwise.functions.versioning import newest_version, top_per_key
 from meterwise.operators.knowledge import changed_documents, index_state
 from meterwise.streaming.common import batches_before, run_batches, write_batch
 
@@ -19,25 +19,42 @@ STATE = T.StructType(
 )
 
 
-def _indexed_before(spark: SparkSession, path: str, batch_id: int, keys: DataFrame) -> DataFrame:
-    """The last known hash of each of the ``keys``."""
+# The state of every so manieth batch holds all keys, so that older ones need not be read.
+COMPACT_EVERY = 10
+
+
+def _indexed_before(spark: SparkSession, path: str, batch_id: int, keys: DataFrame | None = None) -> DataFrame:
+    """The last known hash of each of the ``keys``, or of all."""
     if batch_id == 0:
         return spark.createDataFrame([], STATE).drop("batch_id")
-    known = batches_before(spark, path, STATE, batch_id).join(keys, "doc_id", "left_semi")
+    known = batches_before(spark, path, STATE, batch_id)
+    known = known.where(F.col("batch_id") >= (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY)
+    if keys is not None:
+        known = known.join(keys, "doc_id", "left_semi")
     return top_per_key(known, ["doc_id"], [F.desc("batch_id")]).drop("batch_id")
 
 
+def _state_after(spark: SparkSession, path: str, batch_id: int, fed: DataFrame) -> DataFrame:
+    """The hashes that a batch fed; those of all keys where the state is compacted."""
+    if batch_id % COMPACT_EVERY:
+        return index_state(fed)
+    older = _indexed_before(spark, path, batch_id).join(fed.select("doc_id"), "doc_id", "left_anti")
+    return older.unionByName(index_state(fed))
+
+
 def refresh(documents: DataFrame, feed: str, state: str, checkpoint: str) -> None:
     """Write the documents of each micro-batch that the index lacks or has with other
-    content to ``feed``, and remember their hashes in ``state``. A repeated batch sees
-    the state before it, so it gives the same rows."""
+    content to ``feed``, and remember their hashes in ``state``. Of several versions in one
+    batch the newest by ``updated_at`` counts. A repeated batch sees the state before it,
+    so it gives the same rows."""
 
     def changed(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = newest_version(batch, ["doc_id"], "updated_at")
         rows = changed_documents(batch, _indexed_before(spark, state, batch_id, batch.select("doc_id")))
         write_batch(rows, feed, batch_id)
         written = spark.read.parquet(f"{feed}/batch_id={batch_id}")
-        write_batch(index_state(written), state, batch_id)
+        write_batch(_state_after(spark, state, batch_id, written), state, batch_id)
 
     run_batches(documents, checkpoint, changed)
 

@@ -1,4 +1,4 @@
-"""Hourly utilisation as a stream of node hours."""
+"""Hourly utilisation from node hours of micro-batches."""
 
 from __future__ import annotations
 
@@ -6,32 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.operators.features import merge_node_hours, node_hours
+from meterwise.streaming.common import run_batches, write_batch
 
-LATE_BY = "2 hours"
 
+def refresh(samples: DataFrame, path: str, checkpoint: str) -> None:
+    """Reduce each micro-batch to node hours by itself. No state and no watermark: sums,
+    maxima and distinct nodes of an hour merge later, however late its samples come."""
 
-def node_hour_stream(samples: DataFrame, late_by: str = LATE_BY) -> DataFrame:
-    """Closed node hours. State is one row per open node hour and is dropped when the
-    watermark passes the hour's end."""
-    on_time = samples.withWatermark("start_time", late_by)
-    hours = node_hours(on_time, F.window("start_time", "1 hour"))
-    return hours.withColumn("hour_window", F.col("hour_window.start"))
+    def reduce_batch(batch: DataFrame, batch_id: int) -> None:
+        write_batch(node_hours(batch, F.date_trunc("hour", "start_time")), path, batch_id)
 
-
-def refresh(samples: DataFrame, path: str, checkpoint: str, late_by: str = LATE_BY) -> None:
-    """Append the hours that have closed since the last refresh."""
-    query = (
-        node_hour_stream(samples, late_by)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    run_batches(samples, checkpoint, reduce_batch)
 
 
 def hourly_from(spark: SparkSession, path: str) -> DataFrame:
-    """Cluster hours with exact distinct counts, which a stream itself cannot give."""
-    return merge_node_hours(spark.read.parquet(path))
+    """Cluster hours of all samples so far, with exact distinct counts."""
+    return merge_node_hours(spark.read.option("basePath", path).parquet(path).drop("batch_id"))

@@ -161,3 +161,19 @@ def test_anomaly_needs_a_spread_and_the_latest_run(frame, jobs, clock, cfg):
     assert rows_of(validation.latest_run_anomalies(health, table, clock, cfg), "job_id", "latest_duration_s") == [
         ("1", 3600)
     ]
+
+
+def test_rounding_is_symmetric_and_relative(spark):
+    from meterwise.functions.numeric import steady_round
+
+    values = spark.createDataFrame([(-2.5,), (2.5,), (0.0,), (1e9 + 0.005 - 1e-7,)], "x double")
+    assert [r[0] for r in values.select(steady_round(F.col("x"), 0)).collect()] == [-3.0, 3.0, 0.0, 1e9]
+    assert values.select(steady_round(F.col("x"), 2)).collect()[3][0] == 1e9 + 0.01
+
+
+def test_a_growth_just_over_the_threshold_is_a_spike(frame, clock, cfg):
+    from meterwise.operators.validation import top_cost_spikes
+
+    schema = "workspace_id string, job_id string, job_name string, usage_date date, daily_cost_usd double, rolling_14d_avg double, cost_growth_pct double"
+    trend = frame([("w", "j", "n", "2024-01-30", 1.0, 1.0, 0.25003), ("w", "k", "n", "2024-01-30", 1.0, 1.0, 0.25)], schema)
+    assert top_cost_spikes(trend, clock, cfg).count() == 1

@@ -123,3 +123,23 @@ def test_centroids(spark):
         [(1, [1.0, 3.0], 7), (2, [3.0, 5.0], 7), (3, [0.0, 0.0], 8)], "doc_id long, vector array<float>, label int"
     )
     assert rows_of(knowledge.label_centroids(rows)) == [(7, [2.0, 4.0]), (8, [0.0, 0.0])]
+
+
+def test_upsert_refuses_a_null_key(frame):
+    old = frame([doc("1", "one")], DOCS)
+    with pytest.raises(Exception, match="cannot be upserted"):
+        knowledge.upsert_documents(old, frame([doc(None, "a"), doc(None, "b")], DOCS)).collect()
+
+
+@pytest.mark.parametrize("per_task", [1024, 2])
+def test_text_ids_are_searched_and_copies_tie_by_id(spark, cfg, per_task):
+    vectors = spark.createDataFrame(
+        [("bench-10", [1.0, 0.0]), ("bench-9", [2.0, 0.0]), ("7", [0.0, 1.0]), ("é", [1.0, 1.0])],
+        "doc_id string, vector array<double>",
+    )
+    queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "query_id long, vector array<double>")
+    docs = spark.createDataFrame([("bench-9", "t", "c", "s", "a")], "doc_id string, title string, content string, source string, tags string")
+    found = knowledge.semantic_search(docs, vectors, queries, replace(cfg, query_vectors_per_task=per_task), k=3)
+    assert rows_of(found, "query_id", "rank", "doc_id", "title") == [
+        (q, rank, i, t) for q in range(3) for rank, i, t in ((1, "bench-10", None), (2, "bench-9", "t"), (3, "é", None))
+    ]

@@ -13,10 +13,9 @@ from meterwise.streaming.common import file_stream
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_closed_hours_equal_batch_and_the_rest_follows_later(spark, tmp_path):
+def test_hours_are_whole_in_any_order_of_files(spark, tmp_path):
     nodes = load(spark, FOLDER).node_timeline.withColumn("day", F.dayofmonth("start_time"))
     inbox, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    batch = features.merge_node_hours(features.node_hours(nodes, F.date_trunc("hour", "start_time")))
 
     def arrive(rows):
         rows.drop("day").coalesce(1).write.mode("append").parquet(inbox)
@@ -28,18 +27,17 @@ def test_closed_hours_equal_batch_and_the_rest_follows_later(spark, tmp_path):
             F.round("avg_mem_pct", 6), "peak_mem_pct", "node_count", "node_type_count",
         )
 
-    def closed(upto):
-        newest = nodes.where(F.col("day") <= upto).agg(F.max("start_time")).first()[0]
-        limit = F.lit(newest.isoformat(sep=" ")).cast("timestamp") - F.expr("INTERVAL 2 HOURS")
-        return batch.where(F.col("hour_window") + F.expr("INTERVAL 1 HOUR") <= limit)
+    def batch(upto):
+        return features.merge_node_hours(features.node_hours(upto, F.date_trunc("hour", "start_time")))
 
-    arrive(nodes.where("day <= 10"))
-    assert numbers(utilization.hourly_from(spark, out)) == numbers(closed(10))
     arrive(nodes.where("day > 10"))
-    assert numbers(utilization.hourly_from(spark, out)) == numbers(closed(31))
-    # A sample for an hour that has closed comes too late.
-    arrive(nodes.where("day = 1").limit(1))
-    assert numbers(utilization.hourly_from(spark, out)) == numbers(closed(31))
+    assert numbers(utilization.hourly_from(spark, out)) == numbers(batch(nodes.where("day > 10")))
+    arrive(nodes.where("day <= 10"))  # earlier days come later
+    assert numbers(utilization.hourly_from(spark, out)) == numbers(batch(nodes))
+    # A late sample changes the hour that it belongs to.
+    late = nodes.where("day = 1").orderBy("start_time", "instance_id").limit(1).withColumn("cpu_user_percent", F.lit(100.0))
+    arrive(late)
+    assert numbers(utilization.hourly_from(spark, out)) == numbers(batch(nodes.unionByName(late)))
 
 
 def test_runs_split_over_batches_are_whole(spark, tmp_path):
@@ -71,3 +69,23 @@ def test_only_changed_documents_are_fed(spark, tmp_path):
     french = raw.where(edited).count()
     assert 0 < french < raw.count()
     assert counts == {0: raw.count(), 1: french, 2: french}
+
+
+def test_the_newest_version_of_a_batch_is_fed(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "COMPACT_EVERY", 2)
+    inbox, feed, state, progress = (str(tmp_path / n) for n in ("in", "feed", "state", "progress"))
+    schema = "doc_id string, title string, content string, source string, tags string, updated_at timestamp"
+
+    def arrive(*versions):
+        rows = [("1", "t", text, "s", "a", f"2024-01-0{day} 00:00:00") for text, day in versions]
+        frame([*rows, ("2", "t", "same", "s", "a", "2024-01-01 00:00:00")], schema).coalesce(1).write.mode("append").parquet(inbox)
+        documents.refresh(file_stream(spark, inbox), feed, state, progress)
+
+    arrive(("v2", 2), ("v1", 1))
+    arrive(("v1", 3))
+    arrive(("v2", 4))
+    arrive(("v2", 5))
+    arrive(("v1", 6))
+    fed = documents.feed_from(spark, feed).where("doc_id = '1'")
+    assert rows_of(fed, "batch_id", "content") == [(0, "v2"), (1, "v1"), (2, "v2"), (4, "v1")]
+    assert documents.feed_from(spark, feed).where("doc_id = '2'").count() == 1

@@ -16,6 +16,12 @@ def holds_at_most(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def broadcast_if_few(df: DataFrame, cfg: Config) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it is small; else the optimizer
+    decides by its size."""
+    return F.broadcast(df) if holds_at_most(df, cfg.broadcast_rows) else df
+
+
 def join_in_force(
     facts: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, start: str, end: str, cfg: Config
 ) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from meterwise.clock import Clock
 from meterwise.config import Config
+from meterwise.functions.joins import join_null_safe
 from meterwise.functions.numeric import count_where, steady_round
 from meterwise.operators.features import timed_runs
 from meterwise.operators.reports import cluster_over_provisioned, cost_top_drivers_mtd
@@ -406,12 +407,26 @@ def top_driver_runs(trend: DataFrame, health: DataFrame, clock: Clock) -> DataFr
 
 
 def over_provisioned_bounds(
-    hourly: DataFrame, clusters: DataFrame, clock: Clock, cfg: Config
+    hourly: DataFrame, clusters: DataFrame, clock: Clock, cfg: Config, listed: DataFrame | None = None
 ) -> DataFrame:
-    """X2: no listed cluster lies above a threshold."""
-    listed = cluster_over_provisioned(hourly, clusters, clock, cfg)
-    above = (F.col("avg_cpu_7d") > cfg.low_cpu_pct) | (F.col("avg_mem_7d") > cfg.low_mem_pct)
-    measured = listed.agg(count_where(above).alias("above"))
+    """X2: no listed cluster lies above a threshold, by its listed means or by those
+    computed anew from its hours of the week; one without hours fails too. ``listed`` is
+    the report as published; by default it is taken from the operator."""
+    if listed is None:
+        listed = cluster_over_provisioned(hourly, clusters, clock, cfg)
+    listed = listed.select(*CLUSTER_KEY, "avg_cpu_7d", "avg_mem_7d")
+    week = hourly.where(clock.times_since("hour_window", clock.midnight_ago(7)))
+    cpu, mem = F.col("avg_cpu_pct"), F.col("avg_mem_pct")
+    means = week.groupBy(*CLUSTER_KEY).agg(
+        (F.sum(cpu) / F.count(cpu)).alias("cpu"), (F.sum(mem) / F.count(mem)).alias("mem")
+    )
+    above = [
+        F.col(name) > limit
+        for names, limit in ((("avg_cpu_7d", "cpu"), cfg.low_cpu_pct), (("avg_mem_7d", "mem"), cfg.low_mem_pct))
+        for name in names
+    ]
+    wrong = reduce(Column.__or__, above, F.col("cpu").isNull())
+    measured = join_null_safe(listed, means, CLUSTER_KEY, "left").agg(count_where(wrong).alias("above"))
     return check_rows(
         measured, Check("X2", MEDIUM, F.col("above"), 0, "within", "over-provisioned clusters above a threshold")
     )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from meterwise.clock import Clock
 from meterwise.config import Config
+from meterwise.functions.joins import broadcast_if_few
 from meterwise.functions.numeric import steady_round, text_or, whole_number
-from meterwise.functions.versioning import top_per_key
 from meterwise.operators.actions import action_rows
 from meterwise.operators.versions import CLUSTER_KEY, JOB_KEY
 
@@ -35,28 +35,59 @@ def cost_spikes(trend: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
     )
 
 
-def _jobs_by_cluster(tasks: DataFrame) -> DataFrame:
-    """Which job ran on which cluster, from any number of task rows."""
-    return tasks.select(*JOB_KEY, F.col("compute_id").alias("cluster_id")).distinct()
+def cluster_causes(clusters: DataFrame, clock: Clock) -> DataFrame:
+    """Per cluster, in one pass: whether a version is interactive, and the newest version
+    of the last 7 days (null if it did not change)."""
+    newest = F.struct(
+        F.negative(F.unix_micros("change_time")).alias("age"),
+        "cluster_name",
+        "worker_node_type",
+        "min_workers",
+        "max_workers",
+        "change_time",
+    )
+    changed = clock.times_since("change_time", clock.midnight_ago(7))
+    return clusters.groupBy(*CLUSTER_KEY).agg(
+        F.coalesce(F.max(F.col("cluster_source") == "UI"), F.lit(False)).alias("interactive"),
+        F.min(F.when(changed, newest)).alias("newest"),
+    )
+
+
+def job_causes(tasks: DataFrame, clusters: DataFrame, clock: Clock) -> DataFrame:
+    """Per job, in one pass over its tasks: ``change``, the newest cluster version of the
+    last 7 days among its clusters (null if none), and ``interactive``, whether it ran on an
+    interactive cluster in that time. Tasks shrink to clusters per job before they meet
+    the clusters."""
+    recent = clock.times_since("period_start_time", clock.midnight_ago(7))
+    used = tasks.groupBy(*JOB_KEY, F.col("compute_id").alias("cluster_id")).agg(F.max(recent).alias("recent"))
+    change = F.struct("newest.age", "cluster_id", "newest")
+    return (
+        used.join(cluster_causes(clusters, clock), CLUSTER_KEY)
+        .groupBy(*JOB_KEY)
+        .agg(
+            F.min(F.when(F.col("newest").isNotNull(), change)).alias("change"),
+            F.coalesce(F.max(F.col("recent") & F.col("interactive")), F.lit(False)).alias("interactive"),
+        )
+    )
+
+
+def _of_spiking_jobs(rows: DataFrame, spikes: DataFrame) -> DataFrame:
+    return rows.join(spikes.select(*JOB_KEY), JOB_KEY, "left_semi")
 
 
 def reconfigured_clusters(tasks: DataFrame, clusters: DataFrame, clock: Clock) -> DataFrame:
     """Per job, the newest cluster version of the last 7 days among its clusters."""
-    changed = clusters.where(clock.times_since("change_time", clock.midnight_ago(7))).select(
-        *CLUSTER_KEY, "cluster_name", "change_time", "worker_node_type", "min_workers", "max_workers"
+    version = ["cluster_name", "change_time", "worker_node_type", "min_workers", "max_workers"]
+    return (
+        job_causes(tasks, clusters, clock)
+        .where(F.col("change").isNotNull())
+        .select(*JOB_KEY, "change.cluster_id", *[F.col(f"change.newest.{c}").alias(c) for c in version])
     )
-    # One version per cluster first: a job needs only the newest of all of them.
-    newest = top_per_key(
-        changed,
-        CLUSTER_KEY,
-        [F.desc("change_time"), "cluster_name", "worker_node_type", "min_workers", "max_workers"],
-    )
-    of_job = _jobs_by_cluster(tasks).join(newest, CLUSTER_KEY)
-    return top_per_key(of_job, JOB_KEY, [F.desc("change_time"), F.asc("cluster_id")])
 
 
 def spike_cause_config(spikes: DataFrame, tasks: DataFrame, clusters: DataFrame, clock: Clock) -> DataFrame:
-    return spikes.select(*SPIKE_KEY).join(reconfigured_clusters(tasks, clusters, clock), JOB_KEY).select(
+    changed = reconfigured_clusters(_of_spiking_jobs(tasks, spikes), clusters, clock)
+    return spikes.select(*SPIKE_KEY).join(changed, JOB_KEY).select(
         *SPIKE_KEY, "cluster_name", "change_time", "worker_node_type", "min_workers", "max_workers"
     )
 
@@ -79,39 +110,48 @@ def grown_volume(usage: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
 
 
 def spike_cause_volume(spikes: DataFrame, usage: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
-    return spikes.select(*SPIKE_KEY).join(grown_volume(usage, clock, cfg), JOB_KEY).select(
+    grown = grown_volume(_of_spiking_jobs(usage, spikes), clock, cfg)
+    return spikes.select(*SPIKE_KEY).join(grown, JOB_KEY).select(
         *SPIKE_KEY, "this_week_dbus", "last_week_dbus", "growth_pct"
     )
 
 
 def jobs_on_interactive_clusters(tasks: DataFrame, clusters: DataFrame, clock: Clock) -> DataFrame:
     recent = tasks.where(clock.times_since("period_start_time", clock.midnight_ago(7)))
-    interactive = clusters.where(F.col("cluster_source") == "UI").select(*CLUSTER_KEY)
-    return _jobs_by_cluster(recent).join(interactive, CLUSTER_KEY, "left_semi").select(*JOB_KEY).distinct()
+    return job_causes(recent, clusters, clock).where("interactive").select(*JOB_KEY)
 
 
 def spike_cause_compute(spikes: DataFrame, tasks: DataFrame, clusters: DataFrame, clock: Clock) -> DataFrame:
-    return spikes.select(*SPIKE_KEY).join(
-        jobs_on_interactive_clusters(tasks, clusters, clock), JOB_KEY, "left_semi"
-    )
+    interactive = jobs_on_interactive_clusters(_of_spiking_jobs(tasks, spikes), clusters, clock)
+    return spikes.select(*SPIKE_KEY).join(interactive, JOB_KEY, "left_semi")
 
 
 def spike_explanations(
     spikes: DataFrame, usage: DataFrame, tasks: DataFrame, clusters: DataFrame, clock: Clock, cfg: Config
 ) -> DataFrame:
-    """Each spike with its causes in a fixed order, and a sentence."""
-    config = reconfigured_clusters(tasks, clusters, clock).select(
+    """Each spike with its causes in a fixed order, and a sentence.
+
+    ``spikes`` is read several times and counted: hand over a written table. Tasks and
+    usage are reduced to spiking jobs before anything is shuffled, if these are few.
+    """
+    jobs = broadcast_if_few(spikes.select(*JOB_KEY).distinct(), cfg)
+    version = F.col("change.newest")
+    found = job_causes(tasks.join(jobs, JOB_KEY, "left_semi"), clusters, clock).select(
         *JOB_KEY,
-        F.format_string(
-            CONFIG_CAUSE,
-            "cluster_name",
-            F.date_format("change_time", "yyyy-MM-dd HH:mm:ss"),
-            "worker_node_type",
-            F.col("min_workers").cast("string"),
-            F.col("max_workers").cast("string"),
+        F.when(
+            F.col("change").isNotNull(),
+            F.format_string(
+                CONFIG_CAUSE,
+                version["cluster_name"],
+                F.date_format(version["change_time"], "yyyy-MM-dd HH:mm:ss"),
+                version["worker_node_type"],
+                version["min_workers"].cast("string"),
+                version["max_workers"].cast("string"),
+            ),
         ).alias("config_cause"),
+        F.when(F.col("interactive"), COMPUTE_CAUSE).alias("compute_cause"),
     )
-    volume = grown_volume(usage, clock, cfg).select(
+    volume = grown_volume(usage.join(jobs, JOB_KEY, "left_semi"), clock, cfg).select(
         *JOB_KEY,
         F.format_string(
             VOLUME_CAUSE,
@@ -120,12 +160,10 @@ def spike_explanations(
             whole_number(F.col("this_week_dbus")),
         ).alias("volume_cause"),
     )
-    compute = jobs_on_interactive_clusters(tasks, clusters, clock).withColumn("compute_cause", F.lit(COMPUTE_CAUSE))
     causes = F.array_compact(F.array("config_cause", "volume_cause", "compute_cause"))
     explained = (
-        spikes.join(config, JOB_KEY, "left")
+        spikes.join(found, JOB_KEY, "left")
         .join(volume, JOB_KEY, "left")
-        .join(compute, JOB_KEY, "left")
         .withColumn("target_name", text_or(F.col("job_name"), F.concat(F.lit("job_"), F.col("job_id"))))
         .withColumn("root_causes", F.when(F.size(causes) > 0, causes).otherwise(F.array(F.lit(NO_CAUSE))))
     )

@@ -6,8 +6,9 @@ add in a different order give equal values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,11 @@ from meterwise.operators import (
     versions,
     waste,
 )
+from meterwise.plans import refresh
 from meterwise.plans.features import Features, SettledFeatures
 from meterwise.plans.findings import Findings
 from meterwise.session import scratch_path
+from meterwise.sinks.tables import create_all
 from meterwise.sources.driver_tables import (
     CLOCK,
     CONFIG,
@@ -315,6 +318,28 @@ QUERIES["recon_s3"] = lambda i: recon.spot_check_row(
 QUERIES["recon_x1"] = lambda i: recon.top_driver_runs(i.f.trend, i.f.health, CLOCK)
 QUERIES["recon_x2"] = lambda i: recon.over_provisioned_bounds(i.f.hourly, i.t.clusters, CLOCK, CONFIG)
 QUERIES["recon_summary"] = lambda i: recon.recon_summary(recon.reconcile(i.settled, i.t, CLOCK, CONFIG))
+
+
+@query("recon_damaged")
+def _recon_damaged(i: Inputs) -> DataFrame:
+    """Checks that must say FAIL: a cluster's hours are missing, the refresh is a day old,
+    costs are half as much again, runs count double, and a report lists every cluster."""
+    f, t = i.settled, i.t
+    listed = f.hourly.select(*versions.CLUSTER_KEY).distinct()
+    checks = [
+        recon.hourly_row_count(f.hourly.where("cluster_id <> '3'"), t.node_timeline, CLOCK),
+        recon.utilization_checks(f.hourly.selectExpr("* EXCEPT (updated_at)", "updated_at - INTERVAL 1 DAY AS updated_at"), CLOCK),
+        recon.yesterdays_cost(
+            f.trend.withColumn("daily_cost_usd", F.col("daily_cost_usd") * 1.5), t.usage, t.list_prices, CLOCK, CONFIG
+        ),
+        recon.run_total_checks(f.health.withColumn("total_runs", F.col("total_runs") * 2), t.job_run_timeline, CLOCK, CONFIG),
+        recon.over_provisioned_bounds(
+            f.hourly, t.clusters, CLOCK, CONFIG, listed.withColumns({"avg_cpu_7d": F.lit(0.0), "avg_mem_7d": F.lit(0.0)})
+        ),
+    ]
+    return reduce(DataFrame.unionByName, checks).where(F.col("check_id").isin("C1", "C3", "J1", "H2", "X2"))
+
+
 QUERIES["job_spot_check"] = _job_spot
 QUERIES["cluster_spot_check"] = _cluster_spot
 QUERIES["job_cost_spot_check"] = _cost_spot
@@ -351,6 +376,66 @@ QUERIES["semantic_search"] = lambda i: rounded(
     score=6,
 )
 
+# --- written and read back ------------------------------------------------------------
+
+
+def _new_database(i: Inputs) -> str:
+    """A database of its own in the shared folder."""
+    name = f"meterwise_{uuid.uuid4().hex}"
+    i.spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_path(i.spark, name)}'")
+    return name
+
+
+@query("stored_trend")
+def _stored_trend(i: Inputs) -> DataFrame:
+    stored = refresh.refresh_features(i.t, _new_database(i), CLOCK, CONFIG)
+    return rounded(stored.trend, **TREND_PLACES)
+
+
+@query("stored_findings")
+def _stored_findings(i: Inputs) -> DataFrame:
+    """Logged twice; the second time adds nothing."""
+    database = _new_database(i)
+    create_all(i.spark, database)
+    for _ in range(2):
+        refresh.log_findings(i.settled, i.t, database, CLOCK, CONFIG)
+    return i.spark.table(f"{database}.agent_action_log").drop("details")
+
+
+@query("stored_actions")
+def _stored_actions(i: Inputs) -> DataFrame:
+    database = _new_database(i)
+    create_all(i.spark, database)
+    refresh.record_actions(i.t.agent_action_log.drop("action_id", "action_timestamp"), database, CLOCK)
+    return i.spark.table(f"{database}.agent_action_log")
+
+
+@query("stored_turns")
+def _stored_turns(i: Inputs) -> DataFrame:
+    """Two batches; the second is numbered on from the first."""
+    database = _new_database(i)
+    create_all(i.spark, database)
+    for _ in range(2):
+        refresh.record_turns(i.t.new_turns, database, CLOCK)
+    return i.spark.table(f"{database}.agent_conversation").select("session_id", "turn", "role", "content")
+
+
+@query("stored_documents")
+def _stored_documents(i: Inputs) -> DataFrame:
+    database = _new_database(i)
+    create_all(i.spark, database)
+    refresh.upsert_corpus(i.t.knowledge_docs, database)
+    refresh.upsert_corpus(i.t.new_documents, database)
+    return i.spark.table(f"{database}.knowledge_docs")
+
+
+@query("stored_report")
+def _stored_report(i: Inputs) -> DataFrame:
+    database = _new_database(i)
+    refresh.publish_reports(i.f, i.t, database, CLOCK, CONFIG, ["cost_by_sku"])
+    return i.spark.table(f"{database}.cost_by_sku")
+
+
 # --- streams --------------------------------------------------------------------------
 
 

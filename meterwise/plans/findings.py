@@ -10,6 +10,7 @@ from meterwise.clock import Clock
 from meterwise.config import Config
 from meterwise.operators import actions, alerts, budget, sizing, spikes, waste
 from meterwise.plans.features import Features
+from meterwise.session import settle
 from meterwise.sources.platform import PlatformTables
 
 
@@ -25,7 +26,7 @@ class Findings:
     def explained_spikes(self) -> DataFrame:
         t = self.tables
         return spikes.spike_explanations(
-            self.spikes, t.usage, t.job_task_run_timeline, t.clusters, self.clock, self.cfg
+            settle(self.spikes, "spikes"), t.usage, t.job_task_run_timeline, t.clusters, self.clock, self.cfg
         )
 
     @cached_property

@@ -865,6 +865,37 @@ SQL = {
     "stream_changed_documents": "SELECT doc_id, title, content, source, tags FROM knowledge_docs",
 }
 
+STALE = CHECKS["C3"].replace("count(*) > 0 THEN 0", "count(*) > 0 THEN 1440")
+SQL |= {
+    "recon_damaged": " UNION ALL ".join(
+        [
+            CHECKS["C1"].replace("FROM last_day_hours", "FROM last_day_hours WHERE cluster_id <> '3'"),
+            STALE,
+            CHECKS["J1"].replace("sum(daily_cost_usd)", "sum(daily_cost_usd * 1.5E0)"),
+            CHECKS["H2"].replace("sum(total_runs)", "sum(total_runs * 2)"),
+            check("X2", "medium", "count(*) FILTER (cpu IS NULL OR cpu > 30 OR mem > 40)", "<=", 0,
+                  "over-provisioned clusters above a threshold",
+                  "(SELECT DISTINCT cluster_id, workspace_id FROM hourly) LEFT JOIN (SELECT cluster_id, workspace_id,"
+                  " avg(avg_cpu_pct) AS cpu, avg(avg_mem_pct) AS mem FROM week_hours GROUP BY ALL)"
+                  " USING (cluster_id, workspace_id)"),
+        ]
+    ),
+    "stored_trend": f"SELECT {TREND}, {AS_OF} AS updated_at FROM trend4",
+    "stored_findings": SQL["all_actions"],
+    "stored_actions": f"""
+        SELECT sha256(concat_ws('|', skill_name, workspace_id, target_id, '2024-01-31', action_type, description))
+                 AS action_id,
+               {AS_OF} AS action_timestamp, * EXCLUDE (action_id, action_timestamp)
+               REPLACE ({r('projected_savings', 2)} AS projected_savings)
+        FROM agent_action_log""",
+    "stored_turns": """
+        SELECT session_id, CAST(t + batch * n AS INT) AS turn, role, content
+        FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS t,
+                     count(*) OVER (PARTITION BY session_id) AS n FROM agent_conversation), range(2) AS b(batch)""",
+    "stored_documents": SQL["upsert_documents"],
+    "stored_report": SQL["cost_by_sku"],
+}
+
 
 def _names_in(text: str) -> set[str]:
     return set(re.findall(r"[a-z_0-9]+", text)) & CTES.keys()

@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meterwise import schemas
 from meterwise.clock import Clock
 from meterwise.config import Config
 from meterwise.operators import reports as r
-from meterwise.operators.actions import without_repeats
+from meterwise.operators.actions import log_actions, without_repeats
+from meterwise.operators.knowledge import upsert_documents
+from meterwise.operators.memory import assign_turns, conversation_rows
 from meterwise.operators.reconciliation import reconcile
 from meterwise.plans.features import Features, StoredFeatures
 from meterwise.plans.findings import Findings
+from meterwise.schemas import conform
 from meterwise.session import settle
-from meterwise.sinks.tables import append_rows, create_all, overwrite_table, publish_view
+from meterwise.sinks.tables import append_rows, create_all, publish_version
 from meterwise.sources.platform import PlatformTables
 
 
 def refresh_features(tables: PlatformTables, database: str, clock: Clock, cfg: Config) -> StoredFeatures:
-    """Rebuild the feature tables; one action each."""
+    """Rebuild the feature tables. Readers see the last ones until the new are complete."""
     create_all(tables.spark, database)
     fresh = Features(tables, clock, cfg)
-    overwrite_table(fresh.hourly, f"{database}.feat_cluster_utilization", schemas.CLUSTER_UTILIZATION)
-    overwrite_table(fresh.trend, f"{database}.feat_job_cost_trend", schemas.JOB_COST_TREND)
-    overwrite_table(fresh.health, f"{database}.feat_job_health", schemas.JOB_HEALTH)
+    for rows, name in (
+        (fresh.hourly, "feat_cluster_utilization"),
+        (fresh.trend, "feat_job_cost_trend"),
+        (fresh.health, "feat_job_health"),
+    ):
+        publish_version(conform(rows, schemas.TABLES[name]).hint("rebalance"), f"{database}.{name}")
     return StoredFeatures(tables.spark, database)
 
 
 def log_reconciliation(
     features, tables: PlatformTables, database: str, clock: Clock, cfg: Config, mode: str = "fast"
 ) -> DataFrame:
-    """Run the checks and append their rows to the log; gives them back as stored."""
-    checks = settle(reconcile(features, tables, clock, cfg, mode), "checks")
+    """Run the checks and append their rows to the log, with the time and mode of the run;
+    gives them back as stored."""
+    value = F.coalesce(F.col("measured").cast("string"), F.lit("no value"))
+    detail = F.format_string("%s: %s, tolerance %s", "summary", value, F.col("tolerance").cast("string"))
+    run = {"detail": detail, "mode": F.lit(mode), "checked_at": clock.now}
+    checks = settle(reconcile(features, tables, clock, cfg, mode).withColumns(run), "checks")
     append_rows(checks, f"{database}.reconciliation_log", schemas.RECONCILIATION)
     return checks
 
@@ -47,6 +60,25 @@ def log_findings(features, tables: PlatformTables, database: str, clock: Clock,
     append_rows(rows, log, schemas.ACTION_LOG)
 
 
+def record_actions(requests: DataFrame, database: str, clock: Clock) -> None:
+    """Append actions recorded by hand to the log."""
+    append_rows(log_actions(requests, clock), f"{database}.agent_action_log", schemas.ACTION_LOG)
+
+
+def record_turns(new: DataFrame, database: str, clock: Clock) -> None:
+    """Number a batch of messages on from the log's last turns and append them."""
+    log = f"{database}.agent_conversation"
+    rows = conversation_rows(assign_turns(new.sparkSession.table(log), new), clock)
+    append_rows(settle(rows, "turns"), log, schemas.CONVERSATION)
+
+
+def upsert_corpus(batch: DataFrame, database: str) -> None:
+    """Publish the corpus after the batch."""
+    corpus = f"{database}.knowledge_docs"
+    merged = upsert_documents(batch.sparkSession.table(corpus), batch)
+    publish_version(conform(merged, schemas.KNOWLEDGE_DOCS), corpus)
+
+
 def report_views(features, tables: PlatformTables, clock: Clock, cfg: Config) -> dict[str, DataFrame]:
     """The report views by name, in their presentation order."""
     usage, prices, log = tables.usage, tables.list_prices, tables.agent_action_log
@@ -81,9 +113,13 @@ def report_views(features, tables: PlatformTables, clock: Clock, cfg: Config) ->
     }
 
 
-def publish_reports(features, tables: PlatformTables, clock: Clock, cfg: Config) -> list[str]:
-    """Make every report view available to SQL in this session."""
+def publish_reports(
+    features, tables: PlatformTables, database: str, clock: Clock, cfg: Config, names: Collection[str] | None = None
+) -> list[str]:
+    """Publish the reports (all, or those named) as views of the catalog over their
+    written rows: they outlive the session, and no plan of today is kept for later."""
     views = report_views(features, tables, clock, cfg)
-    for name, rows in views.items():
-        publish_view(rows, name)
-    return list(views)
+    chosen = [name for name in views if names is None or name in names]
+    for name in chosen:
+        publish_version(views[name], f"{database}.{name}")
+    return chosen

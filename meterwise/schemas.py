@@ -41,7 +41,9 @@ CONVERSATION = _struct(
     session_id=S, turn=I, role=S, content=S, tool_name=S, tool_args=S, tool_result=S, user_id=S, ts=TS,
 )
 KNOWLEDGE_DOCS = _struct(doc_id=S, title=S, content=S, source=S, tags=S, updated_at=TS)
-RECONCILIATION = _struct(check_id=S, severity=S, status=S, measured=D, tolerance=D, summary=S)
+RECONCILIATION = _struct(
+    check_id=S, severity=S, status=S, measured=D, tolerance=D, summary=S, detail=S, mode=S, checked_at=TS,
+)
 
 TABLES = {
     "feat_cluster_utilization": CLUSTER_UTILIZATION,
@@ -52,6 +54,8 @@ TABLES = {
     "knowledge_docs": KNOWLEDGE_DOCS,
     "reconciliation_log": RECONCILIATION,
 }
+# Replaced as a whole: views over versions (``sinks.tables.publish_version``).
+VERSIONED = {"feat_cluster_utilization", "feat_job_cost_trend", "feat_job_health", "knowledge_docs"}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

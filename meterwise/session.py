@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -71,3 +72,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_settled: dict[tuple[str, ...], tuple[str, StructType]] = {}
+
+
+def settle_once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """As ``settle``, but one copy serves the application: for what is derived from a
+    ``source`` that does not change while it runs."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), label, source)
+    if key not in _settled:
+        df, path = make(), scratch_path(spark, label)
+        df.write.parquet(path)
+        _settled[key] = path, df.schema
+    path, schema = _settled[key]
+    return spark.read.schema(schema).parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from meterwise.schemas import TABLES, conform
+from meterwise.schemas import TABLES, VERSIONED, conform
 
 
 def create_table_if_missing(spark: SparkSession, table: str, schema: T.StructType) -> None:
@@ -17,7 +19,11 @@ def create_table_if_missing(spark: SparkSession, table: str, schema: T.StructTyp
 
 def create_all(spark: SparkSession, database: str) -> None:
     for name, schema in TABLES.items():
-        create_table_if_missing(spark, f"{database}.{name}", schema)
+        table = f"{database}.{name}"
+        if name not in VERSIONED:
+            create_table_if_missing(spark, table, schema)
+        elif not spark.catalog.tableExists(table):
+            publish_version(spark.createDataFrame([], schema), table)
 
 
 def overwrite_table(df: DataFrame, table: str, schema: T.StructType, partition_by: str | None = None) -> None:
@@ -44,16 +50,20 @@ def publish_version(df: DataFrame, name: str) -> str:
     """Write a new version of a table and point view ``name`` at it.
 
     A plain parquet table cannot be read and overwritten in one job; readers of the
-    view see the old version until the new one is complete. Returns the table's name.
+    view see the old version until the new one is complete. The version before stays for
+    them; older ones are dropped. One writer at a time. Returns the table's name.
     """
     spark = df.sparkSession
-    version = f"{name}__{uuid.uuid4().hex}"
+    version = f"{name}__{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
     df.write.format("parquet").saveAsTable(version)
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for old in versions_of(spark, name)[:-2]:
+        spark.sql(f"DROP TABLE {old}")
     return version
 
 
-def publish_view(df: DataFrame, name: str) -> DataFrame:
-    """Make a result available to SQL under ``name`` in this session."""
-    df.createOrReplaceTempView(name)
-    return df
+def versions_of(spark: SparkSession, name: str) -> list[str]:
+    """The version tables of view ``name`` (``database.view``), oldest first."""
+    database, view = name.rsplit(".", 1)
+    tables = [t.tableName for t in spark.sql(f"SHOW TABLES IN {database} LIKE '{view}__*'").collect()]
+    return [f"{database}.{t}" for t in sorted(tables) if re.fullmatch(rf"{re.escape(view)}__\d{{20}}_[0-9a-f]{{8}}", t)]

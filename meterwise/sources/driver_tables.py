@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterwise.clock import Clock
 from meterwise.config import Config
-from meterwise.session import settle
+from meterwise.session import settle_once
 from meterwise.sources.platform import PlatformTables, flat_clusters, flat_prices, flat_usage
 
 AS_OF = datetime(2024, 1, 31)
@@ -209,8 +209,10 @@ def load(spark: SparkSession, directory: str) -> PlatformTables:
         spark,
         {
             "usage": lambda: usage(raw("lineitem")),
-            # Written once, as a price list is a table and not a scan of the usage.
-            "list_prices": lambda: settle(list_prices(raw("lineitem")), "list-prices"),
+            # Written once per application, as a price list is a table and not a scan of the usage.
+            "list_prices": lambda: settle_once(
+                spark, "list-prices", directory, lambda: list_prices(raw("lineitem"))
+            ),
             "jobs": lambda: jobs(raw("part")),
             "clusters": lambda: clusters(raw("part")),
             "node_timeline": lambda: node_timeline(raw("events")),

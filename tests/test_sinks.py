@@ -56,6 +56,8 @@ def test_published_version_can_read_the_one_before(spark, database):
     second = sink.publish_version(merged, name)
     assert first != second
     assert rows_of(spark.table(name)) == [(1, "b")]
+    third = sink.publish_version(spark.table(name), name)
+    assert sink.versions_of(spark, name) == [second, third]
 
 
 def test_create_if_missing_leaves_rows(spark, database):
@@ -88,14 +90,16 @@ def test_refresh_writes_features_checks_findings_and_views(spark, database):
     assert isinstance(stored, StoredFeatures)
     assert stored.trend.schema.fieldNames() == schemas.JOB_COST_TREND.fieldNames()
     checks = refresh.log_reconciliation(stored, tables, database, CLOCK, CONFIG)
-    assert spark.table(f"{database}.reconciliation_log").count() == checks.count() == 12
+    log = spark.table(f"{database}.reconciliation_log")
+    assert log.count() == checks.count() == 12
+    assert log.where("mode = 'fast' AND detail LIKE concat(summary, ': %') AND checked_at IS NOT NULL").count() == 12
     refresh.log_findings(stored, tables, database, CLOCK, CONFIG)
     log = spark.table(f"{database}.agent_action_log")
     assert {"cost_spike_alert", "wasteful_compute_detector"} <= {r[0] for r in log.select("skill_name").distinct().collect()}
-    names = refresh.publish_reports(stored, tables, CLOCK, CONFIG)
+    names = refresh.publish_reports(stored, tables, database, CLOCK, CONFIG)
     assert len(names) == 18
     for name in names:
-        assert spark.table(name).count() >= 0
+        assert spark.table(f"{database}.{name}").count() >= 0
     # A rebuild replaces; it does not add.
     before = stored.health.count()
     assert refresh.refresh_features(tables, database, CLOCK, CONFIG).health.count() == before

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,18 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    return _local_dir(context.applicationId)
+    return _local_dir(context.applicationId).name
 
 
 @cache
-def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"meterwise-{application}-")
+def _local_dir(application: str) -> tempfile.TemporaryDirectory:
+    """Kept while the process runs and deleted when it ends."""
+    return tempfile.TemporaryDirectory(prefix=f"meterwise-{application}-", ignore_cleanup_errors=True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; never reused, so a retry cannot mix runs. All
-    paths of one application lie in one folder, to be deleted when it has ended."""
-    return f"{shared_dir(spark)}/meterwise/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    paths of one application lie in one folder; ``scratch_cleared`` deletes it."""
+    return f"{_application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/meterwise/{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def scratch_cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes the application's scratch folder at the end of the block, whose results
+    must have been written elsewhere by then: for a scheduled application that lives long."""
+    try:
+        yield
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _settled.clear()
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

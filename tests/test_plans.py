@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as driver
@@ -36,8 +38,6 @@ def test_scans_read_only_what_is_used(spark, name, columns):
     _, physical = plans(QUERIES[name](spark, FOLDER))
     scans = [line for line in physical.splitlines() if "FileScan parquet [" in line]
     read = [line.split("FileScan parquet [")[1].split("]")[0] for line in scans]
-    import re
-
     assert columns in [re.sub(r"#\d+L?", "", r) for r in read]
 
 
@@ -46,6 +46,17 @@ def test_time_bounds_reach_the_scan(spark):
     assert "GreaterThanOrEqual(ts,2024-01-01" in physical
 
 
+def test_causes_read_each_source_once_and_move_only_spiking_jobs(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, physical = plans(QUERIES["spike_explanations"](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(re.findall(r"/(\w+)\.parquet\]", physical)) == ["lineitem", "orders", "part"]
+    assert physical.count("LeftSemi, BuildRight") == 2
+    assert "SortMergeJoin [workspace_id" in physical
+
+
 def test_health_aggregates_by_hash(spark):
     _, physical = plans(QUERIES["job_health"](spark, FOLDER))
     assert "SortAggregate" not in physical

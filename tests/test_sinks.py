@@ -6,10 +6,10 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from meterwise import schemas
+from meterwise import schemas, session
 from meterwise.plans import refresh
 from meterwise.plans.features import StoredFeatures
-from meterwise.session import CHECKPOINT_DIR, settle, shared_dir
+from meterwise.session import CHECKPOINT_DIR, scratch_cleared, settle, settle_once, shared_dir
 from meterwise.sinks import tables as sink
 from meterwise.sources.driver_tables import CLOCK, CONFIG, load
 from meterwise.sources.platform import from_catalog, from_parquet, from_rows
@@ -28,6 +28,22 @@ def test_settle_keeps_rows_and_schema(spark):
     assert rows_of(again) == rows_of(df)
 
 
+def test_scratch_is_deleted_at_the_end_and_shared_copies_are_made_anew(spark, tmp_path, monkeypatch):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    monkeypatch.setattr(session, "_application_dir", lambda spark: str(tmp_path / "scratch"))
+    for _ in range(2):
+        with scratch_cleared(spark):
+            assert [settle_once(spark, "n", "source", make).count() for _ in range(2)] == [3, 3]
+            assert list(tmp_path.rglob("*.parquet"))
+        assert not (tmp_path / "scratch").exists()
+    assert len(made) == 2
+
+
 def session_double(master, folder=None):
     settings = {CHECKPOINT_DIR: folder} if folder else {}
     get = lambda name, default=None: settings.get(name, default)

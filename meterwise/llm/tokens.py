@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from meterwise.llm.arrow import gather_runs, list_array, sums_by_row, text_slices, worker_state
 
-# Units that a worker remembers before it starts anew: some 25 MB.
+# Units that a worker remembers before it drops those not met of late: some 25 MB.
 MEMO_UNITS = 400_000
 CUT = "\x01"
 # White space and other characters on which tokenizers disagree: nothing is cut beside them.
@@ -39,6 +39,11 @@ def byte_characters() -> dict[int, str]:
 BYTE_TABLE = byte_characters()
 
 
+def strings(values: pa.Array) -> list[str]:
+    """As ``to_pylist``, which takes many times as long."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class UnitEncoder:
     """Encodes text columns; remembers the ids of the units it has met.
 
@@ -62,6 +67,10 @@ class UnitEncoder:
         self.units = pa.array([], pa.string())
         self.flat = np.zeros(0, np.int32)
         self.ends = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int32)  # the slice that met a unit last
+        self.slices = 0
+        # The units' hashes ascending, and the unit of each.
+        self.keys, self.unit_of_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and each row's number of ids."""
@@ -73,17 +82,23 @@ class UnitEncoder:
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if pc.any(pc.match_substring(texts, CUT)).as_py():
-            ids = [e.ids for e in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+            return self._whole(texts)
         cut = pc.split_pattern(self._marked(texts), CUT)
         coded = cut.flatten().dictionary_encode()
-        entry = self._entries(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        entries = self._entries(coded.dictionary)
+        if entries is None:
+            return self._whole(texts)
+        entry = entries[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = np.diff(self.ends, prepend=0)
         unit_lengths = lengths[entry]
         flat = gather_runs(self.flat, self.ends[entry] - unit_lengths, unit_lengths)
         counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         return flat, sums_by_row(unit_lengths, counts)
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
     def _marked(self, texts: pa.Array) -> pa.Array:
         if self.lowers:
             texts = pc.ascii_lower(texts)
@@ -94,25 +109,59 @@ class UnitEncoder:
         texts = pc.replace_substring_regex(texts, rf"([^{SPACES}])\n([^{SPACES}])", f"\\1{CUT}\n{CUT}\\2")
         return pc.replace_substring_regex(texts, rf"([{LETTERS}])([.,;:!?*#$%&|]+){CUT}", rf"\1{CUT}\2{CUT}")
 
-    def _entries(self, distinct: pa.Array) -> np.ndarray:
-        """The place in the memo of each unit; new ones are encoded first."""
-        found = pc.index_in(distinct, value_set=self.units)
-        new = distinct.filter(pc.is_null(found))
-        if len(new):
-            if len(self.units) + len(new) > self.memo_units:
-                self.forget()
-                new = distinct
-            self._remember(new)
-            found = pc.index_in(distinct, value_set=self.units)
-        return found.to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def _remember(self, new: pa.Array) -> None:
+    def _entries(self, distinct: pa.Array) -> np.ndarray | None:
+        """The place in the memo of each unit; new ones are encoded first. Units are found by
+        hash and then compared: None if two of them share one."""
+        keys = np.fromiter(map(hash, strings(distinct)), np.int64, len(distinct))
+        self.slices += 1
+        found, known = self._places(keys)
+        if len(self.keys) + np.count_nonzero(~known) > self.memo_units:
+            self.met[found[known]] = self.slices
+            self._forget_oldest()
+            found, known = self._places(keys)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            self._remember(distinct.take(pa.array(new)), keys[new])
+            found, _ = self._places(keys)
+        self.met[found] = self.slices
+        return found if self.units.take(pa.array(found)).equals(distinct) else None
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit of each key, and whether there is one."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        order = np.argsort(keys)  # a search in order stays in the cache
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.searchsorted(self.keys, keys[order])
+        at = np.minimum(at, len(self.keys) - 1)
+        return self.unit_of_key[at], self.keys[at] == keys
+
+    def _forget_oldest(self) -> None:
+        """Keep the units met last, at most three quarters of those there may be."""
+        by_age = np.argsort(-self.met, kind="stable")
+        kept = np.sort(by_age[: self.memo_units // 4 * 3])
+        keys = np.empty_like(self.keys)
+        keys[self.unit_of_key] = self.keys
+        keys, lengths = keys[kept], np.diff(self.ends, prepend=0)[kept]
+        self.flat = gather_runs(self.flat, self.ends[kept] - lengths, lengths)
+        self.units, self.ends, self.met = self.units.take(pa.array(kept)), np.cumsum(lengths), self.met[kept]
+        self.unit_of_key = np.argsort(keys)
+        self.keys = keys[self.unit_of_key]
+
+    def _remember(self, new: pa.Array, keys: np.ndarray) -> None:
         plain = pc.match_substring_regex(new, SPACED_WORD)
         words, others = new.filter(plain), new.filter(pc.invert(plain))
-        ids = [self._word(w) for w in words.to_pylist()]
-        ids += [e.ids for e in self.library.encode_batch(others.to_pylist(), add_special_tokens=False)]
+        ids = [self._word(w) for w in strings(words)]
+        ids += [e.ids for e in self.library.encode_batch(strings(others), add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+        is_word = plain.to_numpy(zero_copy_only=False)
+        keys = np.concatenate([keys[is_word], keys[~is_word]])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.unit_of_key = np.insert(self.unit_of_key, at, len(self.units) + order)
+        self.met = np.concatenate([self.met, np.full(len(keys), self.slices, np.int32)])
         self.units = pa.concat_arrays([self.units, words, others])
         self.ends = np.concatenate([self.ends, np.cumsum(lengths) + len(self.flat)])
         self.flat = np.concatenate([self.flat, flat])

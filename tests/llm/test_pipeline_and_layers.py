@@ -8,11 +8,13 @@ import json
 from urllib.parse import quote
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterwise.llm import chat, fingerprints, packing, secrets, simhash, toxicity
+from meterwise.llm import chat, fingerprints, packing, secrets, simhash, tokens, toxicity
 from meterwise.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +144,25 @@ def test_packing_is_exact_and_balanced():
     assert all(n <= 4096 and n & (n - 1) == 0 for n in filled)
     costs = np.bincount(seq, plan.cost(length))[filled == 4096]
     assert costs.max() <= 2 * 4096 and json.dumps(int(len(filled)))
+
+
+def whole_ids(encoder: tokens.UnitEncoder, texts: list[str]) -> list[list[int]]:
+    return [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def rows_of(flat, lengths) -> list[list[int]]:
+    ends = lengths.cumsum()
+    return [flat[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)]
+
+
+@pytest.mark.parametrize("vocabulary", [registered.BYTE_VOCABULARY, registered.WORD_VOCABULARY])
+def test_ids_do_not_depend_on_what_the_memo_holds(vocabulary, monkeypatch):
+    words = [f"{a}{b}" for a in ("one", "Two", "drei", "ciónes", "x9") for b in ("", "s", "Ly", ", ", ".\n")]
+    batches = [[" ".join(words[i : i + 6]), "", words[i], "a\x01b"[: i % 4]] for i in range(len(words))]
+    small = tokens.UnitEncoder(public_tokenizers.path(vocabulary), memo_units=8)
+    for texts in [*batches, *batches]:
+        assert rows_of(*small.encode(pa.array(texts))) == whole_ids(small, texts)
+    clashing = tokens.UnitEncoder(public_tokenizers.path(vocabulary))
+    monkeypatch.setattr(tokens, "hash", lambda unit: len(unit), raising=False)
+    for texts in batches:
+        assert rows_of(*clashing.encode(pa.array(texts))) == whole_ids(clashing, texts)

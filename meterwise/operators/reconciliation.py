@@ -19,6 +19,7 @@ from meterwise.functions.numeric import count_where, steady_round
 from meterwise.operators.features import timed_runs
 from meterwise.operators.reports import cluster_over_provisioned, cost_top_drivers_mtd
 from meterwise.operators.versions import CLUSTER_KEY, JOB_KEY, priced_usage
+from meterwise.session import settle
 
 # Severities, statuses and tolerances.
 CRITICAL, HIGH, MEDIUM = "critical", "high", "medium"
@@ -249,9 +250,9 @@ def run_total_checks(health: DataFrame, runs: DataFrame, clock: Clock, cfg: Conf
     )
 
 
-def long_running_jobs(health: DataFrame, limit: int = 20) -> DataFrame:
-    """The jobs behind H5."""
-    slow = health.where(F.col("avg_duration_secs") > LONG_RUN_SECS)
+def long_running_jobs(health: DataFrame, limit: int = 20, over_secs: int = LONG_RUN_SECS) -> DataFrame:
+    """The jobs behind H5, or those whose mean duration is above another bound."""
+    slow = health.where(F.col("avg_duration_secs") > over_secs)
     return slow.orderBy(F.desc("avg_duration_secs"), *JOB_KEY).limit(limit).select(
         *JOB_KEY, "job_name", steady_round(F.col("avg_duration_secs") / 3600, 1).alias("avg_hours")
     )
@@ -435,6 +436,19 @@ def over_provisioned_bounds(
 # --- all of them --------------------------------------------------------------------
 
 
+def checked_windows(
+    nodes: DataFrame, usage: DataFrame, runs: DataFrame, clock: Clock, cfg: Config
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows and columns of each source that some check reads, written once: each source
+    is scanned once for all checks."""
+    recent = nodes.where(clock.times_since("start_time", clock.midnight_ago(1))).select(
+        *CLUSTER_KEY, "start_time", "instance_id", "cpu_user_percent", "mem_used_percent"
+    )
+    yesterday = usage.where(F.col("job_id").isNotNull() & (F.col("usage_date") == clock.date_ago(1)))
+    lookback = runs.where(clock.times_since("period_start_time", clock.midnight_ago(cfg.health_lookback_days)))
+    return settle(recent, "checked-nodes"), settle(yesterday, "checked-usage"), settle(lookback, "checked-runs")
+
+
 def reconcile(
     features,
     tables,
@@ -449,6 +463,9 @@ def reconcile(
     naming a job or a cluster runs the spot checks in either mode."""
     if mode not in ("fast", "full"):
         raise ValueError(f"mode must be fast or full, not {mode!r}")
+    nodes, usage, runs = tables.node_timeline, tables.usage, tables.job_run_timeline
+    if mode == "full":
+        nodes, usage, runs = checked_windows(nodes, usage, runs, clock, cfg)
     checks = [
         utilization_checks(features.hourly, clock),
         cost_checks(features.trend, clock),
@@ -457,25 +474,25 @@ def reconcile(
     ]
     if mode == "full":
         checks += [
-            hourly_row_count(features.hourly, tables.node_timeline, clock),
-            busiest_cluster_means(features.hourly, tables.node_timeline, clock),
-            yesterdays_cost(features.trend, tables.usage, tables.list_prices, clock, cfg),
-            run_total_checks(features.health, tables.job_run_timeline, clock, cfg),
+            hourly_row_count(features.hourly, nodes, clock),
+            busiest_cluster_means(features.hourly, nodes, clock),
+            yesterdays_cost(features.trend, usage, tables.list_prices, clock, cfg),
+            run_total_checks(features.health, runs, clock, cfg),
             top_driver_runs(features.trend, features.health, clock),
             over_provisioned_bounds(features.hourly, tables.clusters, clock, cfg),
         ]
     if mode == "full" or job_id is not None or cluster_id is not None:
         checks += [
             spot_check_row(
-                job_spot_check(features.trend, features.health, tables.job_run_timeline, clock, cfg, job_id),
+                job_spot_check(features.trend, features.health, runs, clock, cfg, job_id),
                 "S1", CRITICAL, "dearest jobs against run source",
             ),
             spot_check_row(
-                cluster_spot_check(features.hourly, tables.node_timeline, clock, cluster_id),
+                cluster_spot_check(features.hourly, nodes, clock, cluster_id),
                 "S2", HIGH, "busiest clusters against node source",
             ),
             spot_check_row(
-                job_cost_spot_check(features.trend, tables.usage, tables.list_prices, clock, cfg, job_id),
+                job_cost_spot_check(features.trend, usage, tables.list_prices, clock, cfg, job_id),
                 "S3", CRITICAL, "dearest jobs against usage source",
             ),
         ]

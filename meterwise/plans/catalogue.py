@@ -87,6 +87,11 @@ TREND_PLACES = {"daily_cost_usd": 4, "rolling_14d_avg": 4, "cost_growth_pct": 4}
 HOURLY_PLACES = {"avg_cpu_pct": 4, "peak_cpu_pct": 4, "avg_mem_pct": 4, "peak_mem_pct": 4}
 HEALTH_PLACES = {"avg_duration_secs": 3, "stddev_duration": 3}
 
+SIZING_DETAILS = (
+    "current_min long, current_max long, recommended_min long, recommended_max long, "
+    "avg_cpu_pct double, avg_mem_pct double, reduction_pct double"
+)
+
 Query = Callable[[Inputs], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -170,6 +175,9 @@ QUERIES["right_sizing_p95"] = lambda i: rounded(
     sizing.right_sizing_p95(i.f.hourly, i.found.overprovisioned, CLOCK, CONFIG), p95_cpu=4, p95_mem=4
 )
 QUERIES["right_sizing_actions"] = lambda i: i.found.sizing_actions.drop("details")
+QUERIES["right_sizing_details"] = lambda i: i.found.sizing_actions.select(
+    "workspace_id", "target_id", F.inline(F.array(F.from_json("details", SIZING_DETAILS)))
+)
 QUERIES["jobs_on_interactive_compute"] = lambda i: waste.jobs_on_interactive_compute(
     i.t.job_task_run_timeline, i.t.clusters, i.t.jobs, CLOCK
 )
@@ -343,7 +351,7 @@ def _recon_damaged(i: Inputs) -> DataFrame:
 QUERIES["job_spot_check"] = _job_spot
 QUERIES["cluster_spot_check"] = _cluster_spot
 QUERIES["job_cost_spot_check"] = _cost_spot
-QUERIES["long_running_jobs"] = lambda i: recon.long_running_jobs(i.f.health)
+QUERIES["long_running_jobs"] = lambda i: recon.long_running_jobs(i.f.health, over_secs=3600)
 
 # --- logs and documents ---------------------------------------------------------------
 

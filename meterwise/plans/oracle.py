@@ -630,6 +630,11 @@ SQL = {
                      quantile_cont(avg_mem_pct, 0.95) AS mem FROM two_days GROUP BY ALL) p
           USING (cluster_id, workspace_id)""",
     "right_sizing_actions": "FROM sizing_actions",
+    "right_sizing_details": f"""
+        SELECT workspace_id, cluster_id AS target_id, CAST(current_min AS BIGINT) AS current_min,
+               CAST(current_max AS BIGINT) AS current_max, CAST(optimal_min AS BIGINT) AS recommended_min,
+               CAST(optimal_max AS BIGINT) AS recommended_max, avg_cpu AS avg_cpu_pct, avg_mem AS avg_mem_pct,
+               {r('reduction_pct * 100', 1)} AS reduction_pct FROM right_sized""",
     "jobs_on_interactive_compute": "FROM wrong_compute",
     "idle_clusters": "FROM idle",
     "zero_task_clusters": "FROM no_tasks",
@@ -828,7 +833,7 @@ SQL = {
     "job_cost_spot_check": "FROM cost_spots",
     "long_running_jobs": f"""
         SELECT workspace_id, job_id, job_name, {r('avg_duration_secs / 3600', 1)} AS avg_hours FROM health
-        WHERE avg_duration_secs > 86400 ORDER BY avg_duration_secs DESC, workspace_id, job_id LIMIT 20""",
+        WHERE avg_duration_secs > 3600 ORDER BY avg_duration_secs DESC, workspace_id, job_id LIMIT 20""",
     "assign_turns": "FROM numbered_turns",
     "append_turns": f"""
         SELECT session_id, turn, role, content, CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS tool_args,

@@ -16,6 +16,10 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
+# Every so manieth batch holds what all before it held, merged; older ones need not be read.
+COMPACT_EVERY = 10
+
+
 def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Process what is available now, one micro-batch after the other."""
     query = (
@@ -32,6 +36,15 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def is_compacted(batch_id: int) -> bool:
+    return batch_id % COMPACT_EVERY == 0
+
+
+def last_compacted(batch_id: int) -> int:
+    """The first batch that a reader of the batches up to ``batch_id`` needs."""
+    return batch_id // COMPACT_EVERY * COMPACT_EVERY
+
+
 def batches_before(spark: SparkSession, path: str, schema, batch_id: int | None = None) -> DataFrame:
     """Rows of the batches so far, or of those before ``batch_id``."""
     rows = spark.read.schema(schema).option("basePath", path).parquet(path)

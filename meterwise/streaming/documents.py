@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from meterwise.functions.versioning import newest_version, top_per_key
 from meterwise.operators.knowledge import changed_documents, index_state
-from meterwise.streaming.common import batches_before, run_batches, write_batch
+from meterwise.streaming.common import batches_before, is_compacted, last_compacted, run_batches, write_batch
 
 STATE = T.StructType(
     [
@@ -19,16 +19,12 @@ STATE = T.StructType(
 )
 
 
-# The state of every so manieth batch holds all keys, so that older ones need not be read.
-COMPACT_EVERY = 10
-
-
 def _indexed_before(spark: SparkSession, path: str, batch_id: int, keys: DataFrame | None = None) -> DataFrame:
     """The last known hash of each of the ``keys``, or of all."""
     if batch_id == 0:
         return spark.createDataFrame([], STATE).drop("batch_id")
     known = batches_before(spark, path, STATE, batch_id)
-    known = known.where(F.col("batch_id") >= (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY)
+    known = known.where(F.col("batch_id") >= last_compacted(batch_id - 1))
     if keys is not None:
         known = known.join(keys, "doc_id", "left_semi")
     return top_per_key(known, ["doc_id"], [F.desc("batch_id")]).drop("batch_id")
@@ -36,7 +32,7 @@ def _indexed_before(spark: SparkSession, path: str, batch_id: int, keys: DataFra
 
 def _state_after(spark: SparkSession, path: str, batch_id: int, fed: DataFrame) -> DataFrame:
     """The hashes that a batch fed; those of all keys where the state is compacted."""
-    if batch_id % COMPACT_EVERY:
+    if not is_compacted(batch_id):
         return index_state(fed)
     older = _indexed_before(spark, path, batch_id).join(fed.select("doc_id"), "doc_id", "left_anti")
     return older.unionByName(index_state(fed))

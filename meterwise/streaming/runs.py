@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meterwise.operators.features import RUN_KEY, collapse_periods
-from meterwise.streaming.common import run_batches, write_batch
+from meterwise.streaming.common import batches_before, is_compacted, last_compacted, run_batches, write_batch
 
 
 def refresh(periods: DataFrame, path: str, checkpoint: str) -> None:
-    """Collapse each micro-batch by itself. No state is kept between batches: the
-    minimum, maximum and greatest state of a run merge later."""
+    """Collapse each micro-batch by itself: the minimum, maximum and greatest state of a run
+    merge later. Every COMPACT_EVERY batches the runs so far are merged with the batch's, so
+    that readers meet a run a bounded number of times. A repeated batch sees only those
+    before it and gives the same rows."""
 
     def collapse(batch: DataFrame, batch_id: int) -> None:
-        write_batch(collapse_periods(batch), path, batch_id)
+        partial = collapse_periods(batch)
+        if batch_id and is_compacted(batch_id):
+            before = batches_before(batch.sparkSession, path, partial.schema.add("batch_id", "integer"), batch_id)
+            before = before.where(F.col("batch_id") >= last_compacted(batch_id - 1))
+            partial = _merged(before.drop("batch_id").unionByName(partial))
+        write_batch(partial, path, batch_id)
 
     run_batches(periods, checkpoint, collapse)
 
 
+def _merged(partial: DataFrame) -> DataFrame:
+    return collapse_periods(partial.withColumnsRenamed({"run_start": "period_start_time", "run_end": "period_end_time"}))
+
+
 def collapsed_from(spark: SparkSession, path: str) -> DataFrame:
-    partial = spark.read.option("basePath", path).parquet(path)
-    return collapse_periods(
-        partial.withColumnsRenamed({"run_start": "period_start_time", "run_end": "period_end_time"})
-    ).select(*RUN_KEY, "run_start", "run_end", "result_state")
+    """All runs so far."""
+    stored = spark.read.option("basePath", path).parquet(path)
+    newest = stored.agg(F.max("batch_id")).first()[0] or 0
+    partial = stored.where(F.col("batch_id") >= last_compacted(newest))
+    return _merged(partial).select(*RUN_KEY, "run_start", "run_end", "result_state")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterwise.operators import features
 from meterwise.sources.driver_tables import CLOCK, knowledge_docs, load
-from meterwise.streaming import documents, runs, utilization
+from meterwise.streaming import common, documents, runs, utilization
 from meterwise.streaming.common import file_stream
 
 FOLDER = "/root/testdata/sf0.001"
@@ -53,6 +53,19 @@ def test_runs_split_over_batches_are_whole(spark, tmp_path):
     assert rows_of(runs.collapsed_from(spark, out)) == rows_of(features.collapse_periods(periods))
 
 
+def test_compacted_runs_are_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "COMPACT_EVERY", 2)
+    periods = load(spark, FOLDER).job_run_timeline
+    inbox, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    part = F.pmod(F.xxhash64("run_id", "period_start_time"), F.lit(6))
+    for n in range(6):
+        periods.where(part == n).coalesce(1).write.mode("append").parquet(inbox)
+        runs.refresh(file_stream(spark, inbox), out, progress)
+        assert rows_of(runs.collapsed_from(spark, out)) == rows_of(features.collapse_periods(periods.where(part <= n)))
+    merged = spark.read.parquet(f"{out}/batch_id=4").drop("batch_id")
+    assert merged.count() == periods.where(part <= 4).select(*features.RUN_KEY).distinct().count()
+
+
 def test_only_changed_documents_are_fed(spark, tmp_path):
     raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
     inbox, feed, state, progress = (str(tmp_path / n) for n in ("in", "feed", "state", "progress"))
@@ -72,7 +85,7 @@ def test_only_changed_documents_are_fed(spark, tmp_path):
 
 
 def test_the_newest_version_of_a_batch_is_fed(spark, frame, tmp_path, monkeypatch):
-    monkeypatch.setattr(documents, "COMPACT_EVERY", 2)
+    monkeypatch.setattr(common, "COMPACT_EVERY", 2)
     inbox, feed, state, progress = (str(tmp_path / n) for n in ("in", "feed", "state", "progress"))
     schema = "doc_id string, title string, content string, source string, tags string, updated_at timestamp"
 

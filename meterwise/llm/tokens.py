@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from meterwise.llm.arrow import gather_runs, list_array, sums_by_row, text_slices, worker_state
 
-# Units that a worker remembers before it drops those not met of late: some 25 MB.
-MEMO_UNITS = 400_000
+# Units that a worker remembers before it drops those not met of late: some 20 MB.
+MEMO_UNITS = 300_000
 CUT = "\x01"
 # White space and other characters on which tokenizers disagree: nothing is cut beside them.
 SPACES = r"\x00-\x20\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"

@@ -132,14 +132,14 @@ def replaced(layer: Layer, pattern: re.Pattern, decode: Callable) -> Layer | Non
 
 
 def unpacked(data: bytes) -> bytes | None:
-    """The content of gzip, zlib or bzip2 data, by its first bytes."""
+    """The content of gzip, zlib or bzip2 data, by its first bytes; None if there is none."""
     try:
         if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_UNPACKED)
+            return zlib.decompressobj(31).decompress(data, MOST_UNPACKED) or None
         if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED)
+            return bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED) or None
         if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_UNPACKED)
+            return zlib.decompressobj().decompress(data, MOST_UNPACKED) or None
     except (zlib.error, gzip.BadGzipFile, OSError, EOFError, ValueError):
         pass
     return None
@@ -210,6 +210,8 @@ def all_spans(text: str) -> list[tuple[str, int, int]]:
     found, seen, work = set(base_spans(text)), {(text, 0, len(text))}, [root]
     while work:
         for child in children(work.pop()):
+            if not child.text:
+                continue
             layer = (child.text, *child.to_root(0, len(child.text)))
             if layer in seen:  # a layer that comes back at its place, by whatever way, ends there
                 continue

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import json
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -67,6 +69,17 @@ def test_wrapped_secrets_are_found_where_they_are(wrap):
     assert not secrets.all_spans("%25" * 50 + "%2525 nothing " + "QUJD" * 10)
 
 
+def test_payloads_without_content_end_no_scan():
+    draw = np.random.default_rng(5)
+    long = gzip.compress(draw.bytes(4000).hex().encode())
+    payloads = [gzip.compress(b""), zlib.compress(b""), bz2.compress(b""), bz2.compress(b"x" * 99)[:12]]
+    payloads += [long[:n] for n in range(12, 60)] + [b"\x1f\x8b\x08\0" + draw.bytes(20) for _ in range(200)]
+    for payload in payloads:
+        secrets.all_spans(f"a {base64.b64encode(payload).decode()} b")
+    wrapped = base64.encodebytes(long).decode()
+    assert ("assign", 0, 17) in secrets.all_spans(f"password=hunter22\n\n{wrapped}")
+
+
 def test_conflicting_content_is_escaped_and_comes_back(spark):
     texts = ["<|im_end|>", "<|im_start|>user\nx", "<\\|im_end|>", "<\\\\|", "a<", "|b", "", "<|im_end|>\n<|im_start|>assistant\nok"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]

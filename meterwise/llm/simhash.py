@@ -8,7 +8,7 @@ way by its remaining bits. Each shard's tree is built where its members meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from meterwise.llm.arrow import text_slices
 from meterwise.llm.components import smallest_reachable
+from meterwise.llm.similar import SIMILARITY, similar_links, with_signatures
 from meterwise.session import settle
 
 SHINGLE_WORDS = 3
@@ -164,8 +165,9 @@ def near_links(fingerprints: DataFrame, tree_members: int = TREE_MEMBERS) -> Dat
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of each row of ``docs`` (``doc_id``, ``text``).
+def near_fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` of each row of ``docs`` (``doc_id``, ``text``): fingerprints within the
+    radius are linked.
 
     The component is the smallest ``doc_id`` reachable over links; null only if all its
     ids are null. Texts without words (null, empty) have fingerprint 0 and are linked like
@@ -173,33 +175,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cost nothing but their row. An empty table gives no rows. Further columns are left out.
     """
     prints = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text").alias("fp")), "fingerprints")
-    return prints.join(components_of(prints), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(components_of(prints, near_links), "fp").select("doc_id", "fp", "component_id")
 
 
-def components_of(prints: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """As ``near_fingerprints``, but texts are linked whose sets of five-word shingles are at least as
+    similar as ``similarity`` (Jaccard), and ``fp`` is a digest of the set."""
+    signed = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    prints = signed.select("doc_id", F.col("_fp").alias("fp"))
+    found = components_of(prints, lambda _: similar_links(signed, similarity))
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def components_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` of the distinct
-    fingerprints of ``prints`` (``doc_id``, ``fp``)."""
+    fingerprints of ``prints`` (``doc_id``, ``fp``), joined by ``links`` of them."""
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = smallest_reachable(near_links(nodes.select("fp")))
+    roots = smallest_reachable(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(firsts, "root").select("fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all columns: the one of
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their component of ``near_duplicates``, with all columns: the one of
     smallest ``doc_id`` (null last), then of smallest text hash; of equal rows, one.
 
-    Numbers and fingerprints of the rows decide; the winners are then met with the rows,
+    Numbers and digests of the rows decide; the winners are then met with the rows,
     whose texts are not shuffled while the winners' ids fit a broadcast.
     """
-    numbered = settle(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fp", simhash("text")), "numbered")
-    prints = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.xxhash64("text").alias("_text"))
+    signed = with_signatures(docs)
+    prints = signed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.xxhash64("text").alias("_text"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_text", "_row")
     firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
-    winners = firsts.join(components_of(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    found = components_of(prints, lambda _: similar_links(signed, similarity))
+    winners = firsts.join(found, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = winners.select(F.col("first._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    return signed.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:

@@ -139,6 +139,27 @@ def test_bk_tree_links_equal_brute_force(spark):
         assert len(same) == len({brute_top(p) for p in ordered})
 
 
+def test_near_dedup_equals_brute_force_similarity(spark):
+    draw = np.random.default_rng(11)
+    texts = []
+    for size in (4, 9, 60, 60, 300):
+        base = [f"w{n}" for n in draw.integers(0, 5000, size)]
+        for share in (0, 0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.3):  # of words that differ
+            texts.append(" ".join("x" if u < share else w for w, u in zip(base, draw.random(size), strict=True)))
+    texts += ["", None, " \n", "One two", "one TWO"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            either = len(sets[i] | sets[j])
+            if not either or 10 * len(sets[i] & sets[j]) >= 8 * either:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {min(i for i in range(len(texts)) if group[i] == g) for g in set(group)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()}
+    assert kept == want and len(want) < len(texts) - 10
+
+
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot": 6.0, "idiotype": 0.0}, 0.1, 10.0)
     found = lexicon.automaton()

@@ -10,12 +10,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
+import codecs
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +39,20 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 # Whatever has a finding or an escape matches this; all other texts need no closer look.
 MAY_MATTER = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#"
-# The shortest finding (token=123456) has 12 characters, and so 16 in base64.
-BASE64_RUN = r"[A-Za-z0-9+/_-]{16}"
-RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# The shortest finding (token=123456) has 12 characters, and so 16 in base64, which may be wrapped: a
+# full line, a first or last line of at least half of them, or a line between others.
+DIGIT = r"[A-Za-z0-9+/_-]"
+BREAK = r"\r?\n[ \t]*"
+LEAST_RUN = 16
+BASE64_RUN = rf"{DIGIT}{{16}}|{DIGIT}{{8}}{BREAK}{DIGIT}|{DIGIT}{BREAK}{DIGIT}{{8}}|\n[ \t]*{DIGIT}+{BREAK}{DIGIT}"
+RUN = re.compile(rf"(?<!{DIGIT})(?:{DIGIT}{{16,}}+(?:{BREAK}{DIGIT}++)*+|{DIGIT}++(?:{BREAK}{DIGIT}++)++)={{0,2}}")
+LINE = re.compile(rf"{DIGIT}+={{0,2}}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-# A layer that would unpack to more than this many bytes is cut there: memory stays bounded
-# against archives made to explode.
-MOST_UNPACKED = 32 << 20
+# Bytes that are unpacked at a time, and characters from which unpacked text is handed on at the next place that
+# no finding or encoding crosses; without such a place, in parts of MOST_TEXT that overlap by OVERLAP.
+UNPACK_BYTES, LEAST_TEXT, MOST_TEXT, OVERLAP = 1 << 20, 4 << 20, 32 << 20, 1 << 20
+APART = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])|[(),!?<>|*~^`@$\[\]]|\x00{4}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -66,12 +74,16 @@ class Layer:
     width: list[int] = field(default_factory=list)
     same: list[bool] = field(default_factory=list)
 
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        """The place in the parent."""
+        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
+        first = self.source[i] + (start - self.at[i] if self.same[i] else 0)
+        return first, self.source[j] + (end - self.at[j] if self.same[j] else self.width[j])
+
     def to_root(self, start: int, end: int) -> tuple[int, int]:
         layer = self
         while layer.parent is not None:
-            i, j = bisect_right(layer.at, start) - 1, bisect_right(layer.at, end - 1) - 1
-            start = layer.source[i] + (start - layer.at[i] if layer.same[i] else 0)
-            end = layer.source[j] + (end - layer.at[j] if layer.same[j] else layer.width[j])
+            start, end = layer.up(start, end)
             layer = layer.parent
         return start, end
 
@@ -131,64 +143,232 @@ def replaced(layer: Layer, pattern: re.Pattern, decode: Callable) -> Layer | Non
     return child if child.text != layer.text else None
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """The content of gzip, zlib or bzip2 data, by its first bytes; None if there is none."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_UNPACKED) or None
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED) or None
-        if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_UNPACKED) or None
-    except (zlib.error, gzip.BadGzipFile, OSError, EOFError, ValueError):
-        pass
-    return None
+class Base64Layer(Layer):
+    """The bytes of base64 as text; positions follow from those of its digits. Bytes that are no UTF-8 are U+FFFD."""
 
+    def __init__(self, parent: Layer, data: bytes, digits: list[tuple[int, int]]):
+        raw = data.decode(errors="surrogateescape")
+        super().__init__(re.sub("[\udc80-\udcff]", "\ufffd", raw), parent)
+        self.clean = self.text == raw and all(c.isprintable() or c in "\t\r\n" for c in raw)
+        if len(raw) == len(data):
+            self.ends = None  # a character is a byte
+        else:
+            codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
+            escaped = (codes >= 0xDC80) & (codes <= 0xDCFF)
+            self.ends = np.cumsum(np.where(escaped, 1, 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF)))
+        # Where the lines begin among the digits, and in the parent.
+        self.places = [place for place, _ in digits]
+        self.firsts = [0, *np.cumsum([n for _, n in digits])[:-1].tolist()]
+        self.n_digits = sum(n for _, n in digits)
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    def _place(self, digit: int) -> int:
+        i = bisect_right(self.firsts, digit) - 1
+        return self.places[i] + digit - self.firsts[i]
 
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        if self.ends is None:
+            first, last = start, end - 1
+        else:
+            first, last = int(self.ends[start - 1]) if start else 0, int(self.ends[end - 1]) - 1
+        return self._place(first // 3 * 4), self._place(min(last // 3 * 4 + 4, self.n_digits) - 1) + 1
 
-def base64_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    body = body.replace("-", "+").replace("_", "/")
+
+class WholeLayer(Layer):
+    """Text whose every part stands for the same place of the parent."""
+
+    def __init__(self, text: str, parent: Layer, place: tuple[int, int]):
+        super().__init__(text, parent)
+        self.place = place
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        return self.place
+
+
+class NarrowedLayer(Layer):
+    """A layer without the single or triple NUL bytes of UTF-16 and UTF-32 text."""
+
+    def __init__(self, parent: Layer):
+        pieces = [(m.start(), m[0]) for m in WIDE_TEXT.finditer(parent.text)]
+        super().__init__("".join(p for _, p in pieces), parent)
+        self.places = [place for place, _ in pieces]
+        self.firsts = [0, *np.cumsum([len(p) for _, p in pieces])[:-1].tolist()]
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        i, j = bisect_right(self.firsts, start) - 1, bisect_right(self.firsts, end - 1) - 1
+        return self.places[i] + start - self.firsts[i], self.places[j] + end - self.firsts[j]
+
+
+# What stays of text with NULs between its characters: runs of other lengths stay.
+WIDE_TEXT = re.compile(r"[^\x00]+|\x00{4,}|(?<!\x00)\x00{2}(?!\x00)")
+
+
+def decompressor(data: bytes):
+    """What may unpack gzip, zlib or bzip2 data, by its first bytes; else None."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    return None
+
+
+class Unpacked:
+    """Iterates over the content of packed data of ``parts``, all members of it, in bounded pieces. ``whole`` tells, at the
+    end, whether all of the data was a complete stream; content before damage is given."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.whole = parts, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        data, tool = next(self.parts, b""), None
+        while True:
+            while len(data) < 4 and (more := next(self.parts, b"")):
+                data += more
+            if not data:
+                self.whole = True
+                return
+            tool = decompressor(data)
+            if tool is None:
+                return
+            bzip = isinstance(tool, bz2.BZ2Decompressor)
+            try:
+                while not tool.eof:
+                    out = tool.decompress(data, UNPACK_BYTES)
+                    data = b"" if bzip else tool.unconsumed_tail
+                    if out:
+                        yield out
+                    if tool.eof or (not tool.needs_input if bzip else data or len(out) == UNPACK_BYTES):
+                        continue
+                    data = next(self.parts, b"")
+                    if not data:
+                        if not bzip and (out := tool.flush()):
+                            yield out
+                        return
+            except (zlib.error, OSError, EOFError, ValueError):
+                return
+            data = tool.unused_data
+
+
+def unpacked_all(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of packed data; where that is packed again, the innermost content."""
+    while True:
+        inner = iter(Unpacked(parts))
+        head = b""
+        while len(head) < 4 and (more := next(inner, b"")):
+            head += more
+        parts = chain([head] if head else [], inner)
+        tool = decompressor(head)
+        if tool is None:
+            yield from parts
+            return
+        try:  # the first bytes of a text may look packed
+            tool.decompress(head, 1)
+        except (zlib.error, OSError, EOFError, ValueError):
+            yield from parts
+            return
+
+
+def texts_of(parts: Iterator[bytes]) -> Iterator[str]:
+    """Text of ``parts``, cut where no finding or encoding is cut."""
+    decoder, text = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for part in parts:
+        text += decoder.decode(part)
+        if len(text) < LEAST_TEXT:
+            continue
+        last = None
+        for size in (1 << 12, 1 << 16, len(text)):
+            for m in APART.finditer(text, max(0, len(text) - size)):
+                last = m.start()
+            if last:
+                break
+        if last:
+            yield text[:last]
+            text = text[last:]
+        elif len(text) >= MOST_TEXT:
+            yield text
+            text = text[-OVERLAP:]
+    if text := text + decoder.decode(b"", True):
+        yield text
+
+
+def base64_bytes(digits: str) -> bytes | None:
+    body = digits[: len(digits) - (len(digits) % 4 == 1)].replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
-def from_base64(layer: Layer, start: int, run: str) -> Layer | None:
-    """What a run stands for. Decoded characters map to their groups of four; unpacked
-    text maps to the whole run."""
-    data = base64_bytes(run)
-    if data is None:
-        return None
-    out, packed = Builder(layer), unpacked(data)
-    while packed is not None and (deeper := unpacked(packed)) is not None:
-        packed = deeper
-    if packed is not None:
-        text = readable(packed)
-        if text is None:
-            return None
-        out.add(text, start, len(run), False)
-        return out.done()
-    text = readable(data)
-    if text is None:
-        return None
-    at = 0
-    for char in text:
-        n = len(char.encode())
-        first, last = at // 3 * 4, min((at + n - 1) // 3 * 4 + 4, len(run))
-        out.add(char, start + first, last - first, False)
-        at += n
-    return out.done()
+def from_base64(layer: Layer, start: int, block: str) -> Iterator[Layer]:
+    """What a run of one or more lines stands for; returns whether all of it is text, or a
+    complete packed stream. Decoded characters map to their groups of four; unpacked text maps to the whole run."""
+    lines = [(start + m.start(), m[0].rstrip("=")) for m in LINE.finditer(block)]
+    digits = "".join(line for _, line in lines)
+    data = base64_bytes(digits) if len(digits) >= LEAST_RUN else None
+    if not data:
+        return False
+    if decompressor(data):
+        outer, any_text = Unpacked(iter([data])), False
+        for text in texts_of(unpacked_all(iter([data]))):
+            any_text = True
+            yield from narrowed(WholeLayer(text, layer, (start, start + len(block))))
+        if any_text:
+            for _ in outer:
+                pass
+            if outer.whole:
+                return True
+    child = Base64Layer(layer, data, [(place, len(line)) for place, line in lines])
+    yield from narrowed(child)
+    if child.clean:
+        return True
+    for skipped in (1, 2, 3):  # a word before it may be joined to the run and shift its groups of four
+        if len(digits) - skipped >= LEAST_RUN and (data := base64_bytes(digits[skipped:])):
+            rest = lines
+            for _ in range(skipped):
+                rest = [(rest[0][0] + 1, rest[0][1][1:]), *rest[1:]] if len(rest[0][1]) > 1 else rest[1:]
+            yield from narrowed(Base64Layer(layer, data, [(place, len(line)) for place, line in rest]))
+    return False
+
+
+def narrowed(layer: Layer) -> Iterator[Layer]:
+    yield layer
+    if "\0" in layer.text and (narrow := NarrowedLayer(layer)).text not in ("", layer.text):
+        yield narrow
+
+
+def from_block(layer: Layer, start: int, block: str) -> Iterator[Layer]:
+    """The layers of a run that may span lines: of all of it; unless that is clean, of all but the first
+    line and of lines of equal width (and a shorter last one), as words beside it may be joined to it; and of single lines."""
+    if (yield from from_base64(layer, start, block)):
+        return
+    lines = [(m.start(), m.end()) for m in LINE.finditer(block)]
+    if len(lines) > 1 and (yield from from_base64(layer, start + lines[1][0], block[lines[1][0] :])):
+        return
+    groups: list[list[tuple[int, int]]] = []
+    open_ = False
+    for a, b in lines:
+        width = groups[-1][0][1] - groups[-1][0][0] if groups else 0
+        if open_ and b - a <= width:
+            groups[-1].append((a, b))
+            open_ = b - a == width
+        else:
+            groups.append([(a, b)])
+            open_ = True
+    for group in groups:
+        a, b = group[0][0], group[-1][1]
+        if 1 < len(group) and len(groups) > 1 and (yield from from_base64(layer, start + a, block[a:b])):
+            continue
+        full = [x for x in group if x[1] - x[0] == group[0][1] - group[0][0]]
+        if 1 < len(full) < len(group) and (yield from from_base64(layer, start + a, block[a : full[-1][1]])):
+            continue
+        for c, d in group:
+            line = block[c:d]
+            if len(lines) > 1 and (yield from from_base64(layer, start + c, line)):
+                continue
+            for part in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", line):  # a path or a word may be joined to it
+                if len(part[0]) < len(line):
+                    yield from from_base64(layer, start + c + part.start(), part[0])
 
 
 def children(layer: Layer) -> Iterator[Layer]:
@@ -196,31 +376,33 @@ def children(layer: Layer) -> Iterator[Layer]:
         if child := replaced(layer, pattern, decode):
             yield child
     for m in RUN.finditer(layer.text):
-        if child := from_base64(layer, m.start(), m[0]):
-            yield child
-            continue
-        for part in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]):  # a path or a word may be joined to it
-            if len(part[0]) < len(m[0]) and (child := from_base64(layer, m.start() + part.start(), part[0])):
-                yield child
+        if len(m[0]) >= LEAST_RUN:
+            yield from from_block(layer, m.start(), m[0])
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:
     """Distinct spans of all layers, by start, kind as listed, and end."""
-    root = Layer(text)
-    found, seen, work = set(base_spans(text)), {(text, 0, len(text))}, [root]
-    while work:
-        for child in children(work.pop()):
-            if not child.text:
-                continue
-            layer = (child.text, *child.to_root(0, len(child.text)))
-            if layer in seen:  # a layer that comes back at its place, by whatever way, ends there
-                continue
-            seen.add(layer)
-            work.append(child)
-            found |= {(kind, *child.to_root(a, b)) for kind, a, b in base_spans(child.text)}
+    found, seen, work = set(base_spans(text)), {(_digest(text), 0, len(text))}, [children(Layer(text))]
+    while work:  # depth first: few layers are held at a time
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+            continue
+        if not child.text:
+            continue
+        layer = (_digest(child.text), *child.to_root(0, len(child.text)))
+        if layer in seen:  # a layer that comes back at its place, by whatever way, ends there
+            continue
+        seen.add(layer)
+        work.append(children(child))
+        found |= {(kind, *child.to_root(a, b)) for kind, a, b in base_spans(child.text)}
     return in_order(found)
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
+
+
 def in_order(spans) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

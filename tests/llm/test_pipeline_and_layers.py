@@ -6,6 +6,7 @@ import base64
 import bz2
 import gzip
 import json
+import textwrap
 import zlib
 from urllib.parse import quote
 
@@ -80,6 +81,31 @@ def test_payloads_without_content_end_no_scan():
     assert ("assign", 0, 17) in secrets.all_spans(f"password=hunter22\n\n{wrapped}")
 
 
+def test_encoded_layers_are_read_whole(monkeypatch):
+    draw = np.random.default_rng(7)
+    noise = " ".join(draw.bytes(3).hex() for _ in range(400))
+    inner = f"{noise[:1000]} {SECRET} {noise[1000:]}"
+    b64 = lambda data, width=76, end="\n": end.join(textwrap.wrap(base64.b64encode(data).decode(), width))
+    members = gzip.compress(noise.encode()) + gzip.compress(inner.encode())
+    cases = [b64(inner.encode(), 64), b64(inner.encode(), 10), b64(inner.encode(), 76, "\r\n  "), b64(inner.encode(), 75)]
+    cases += [b64(SECRET.encode(), 11), b64(gzip.compress(inner.encode())), b64(zlib.compress(inner.encode()), 64), b64(members)]
+    cases += [b64(bz2.compress(noise.encode()) + bz2.compress(inner.encode())), b64(gzip.compress(bz2.compress(members)))]
+    cases += [b64(b"\0\xff\xa0" + SECRET.encode() + b"\0\x80"), b64("\ufeff\u200b\u00a0".encode() + SECRET.encode())]
+    cases += [b64(SECRET.encode("utf-16")), b64(gzip.compress(SECRET.encode("utf-16-be"))), b64(b"name" + bytes(90) + SECRET.encode() + bytes(512))]
+    for number, case in enumerate(cases):
+        for text in (f"see:\n\n{case}\n\nend", f"the attachment\n{case}\nRegards, x"):
+            at = text.index(case)
+            spans = [(a, b) for kind, a, b in secrets.all_spans(text) if kind == "assign"]
+            assert any(at <= a and a < b <= at + len(case) + 8 for a, b in spans), (number, text[:60])
+    text = "x " + b64(inner.encode())
+    spans = [text[a:b] for kind, a, b in secrets.all_spans(text) if kind == "assign"]
+    assert any(SECRET.encode() in base64.b64decode(s) and len(s) < 50 for s in spans)
+    monkeypatch.setattr(secrets, "UNPACK_BYTES", 97)
+    monkeypatch.setattr(secrets, "LEAST_TEXT", 256)
+    far = "é, " * 2000 + SECRET + " é" * 2000
+    assert any(kind == "assign" for kind, _, _ in secrets.all_spans(b64(gzip.compress(far.encode()))))
+
+
 def test_conflicting_content_is_escaped_and_comes_back(spark):
     texts = ["<|im_end|>", "<|im_start|>user\nx", "<\\|im_end|>", "<\\\\|", "a<", "|b", "", "<|im_end|>\n<|im_start|>assistant\nok"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]

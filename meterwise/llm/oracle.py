@@ -109,5 +109,87 @@ FROM judged LEFT JOIN nearest USING (dir)
 """
 
 
+FILTER_AUDIT = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), failing AS (
+  SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM doc
+), judged AS (
+  SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing LEFT JOIN judged USING (doc_id) GROUP BY part, fails
+), letter AS (SELECT unnest([1, 2, 3, 4, 5]) AS l
+), orders AS (
+  SELECT [a.l, b.l, c.l, d.l, e.l] AS filters FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(filters, lambda f: 'ABCDE'[f]), '') AS filter_order, step, filters[step] AS own, filters[:step - 1] AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), met AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS f, len(list_filter(earlier, lambda e: fails[e])) > 0 AS gone,
+    len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM counted, steps
+), summed AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT f AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (f AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (f AND gone), 0) AS redundant, coalesce(sum(n) FILTER (f AND n_fails = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (f AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (f AND NOT gone), 0) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
+def centroids(rounds: int = 5) -> str:
+    """The rounds one after the other, each over all pairs of a vector and a centroid."""
+
+    def pairs(r: int) -> str:
+        distance = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""a{r} AS MATERIALIZED (
+  SELECT rn, min({{'distance': CAST({distance} AS BIGINT), 'cluster': c.cluster}}) AS best FROM kept k, c{r} c GROUP BY rn
+)"""
+
+    def moved(r: int) -> str:
+        return f"""m{r} AS (
+  SELECT cluster, i, (s - ((s % n) + n) % n) // n AS x FROM (
+    SELECT best.cluster AS cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{r} JOIN kept USING (rn), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL
+  )
+), c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(new.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT cluster, list(CAST(x AS BIGINT) ORDER BY i) AS v FROM m{r} GROUP BY cluster) new USING (cluster)
+)"""
+
+    steps = ",\n".join(f"{pairs(r)}, {moved(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v FROM (
+    SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT 40
+  )
+), {steps}, {pairs(rounds)}, found AS (
+  SELECT vec_id, best.cluster AS cluster, best.distance AS distance FROM a{rounds} JOIN kept USING (rn)
+)
+SELECT vec_id, CAST(found.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY found.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM found JOIN c{rounds} c ON c.cluster = found.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": CHAT, "op8_licenses": licenses(), "op10_decontamination": DECONTAMINATION}
+    return {
+        "op2_chat": CHAT,
+        "op8_licenses": licenses(),
+        "op10_decontamination": DECONTAMINATION,
+        "op11_centroids": centroids(),
+        "op12_filter_audit": FILTER_AUDIT,
+    }

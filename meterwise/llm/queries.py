@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import chat, decontamination, fingerprints, language, licenses, packing, secrets, simhash, token_files, toxicity
+from meterwise.llm import (
+    centroids,
+    chat,
+    decontamination,
+    filter_audit,
+    fingerprints,
+    graphs,
+    language,
+    licenses,
+    packing,
+    secrets,
+    simhash,
+    token_files,
+    toxicity,
+)
 from meterwise.llm.neighbours import with_next
 from meterwise.session import scratch_path
 
@@ -137,6 +151,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_secrets,
@@ -149,5 +175,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_licenses,
         op9_packing,
         op10_decontamination,
+        op11_centroids,
+        op12_filter_audit,
+        op13_neighbours,
     ]
     return {f.__name__: f for f in found}

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings", "labels"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = db.execute(oracle_sql()[name])
     columns = [c[0] for c in want.description]

@@ -59,13 +59,16 @@ def odd(spark, tmp_path_factory):
     ]
     rows = [(*t, "z") for t in turns]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").write.parquet(f"{base}/conversations.parquet")
+    numbers = [1.0, 2.0] * 32
+    vectors = [(0, numbers, 1), (0, numbers, 1), (20, [-x for x in numbers], 1), (None, numbers, 1), (1, None, 1), (2, [0.0] * 64, 1), (3, [1.0], 1), (4, [], 1), (5, [None] + numbers[1:], 1), (6, [float("nan")] + numbers[1:], 1), (7, [float("inf")] + numbers[1:], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, row int").write.parquet(f"{base}/embeddings.parquet")
     return base
 
 
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "conversations"):
+    for name in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{base}/{name}.parquet")
     return base
 

@@ -7,6 +7,7 @@ unit is encoded once per worker: the library's time goes into words, not into te
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable
 
@@ -58,7 +59,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Added tokens are matched in the text as such, across the places where it would be cut.
+        added = [token.content for token in self.library.get_added_tokens_decoder().values() if token.content]
+        self.uncut = "(?i)" + "|".join(map(re.escape, [CUT, *added]))
         self.lowers = self.library.normalizer is not None
         self.memo_units = memo_units
         self.forget()
@@ -81,8 +84,18 @@ class UnitEncoder:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if pc.any(pc.match_substring(texts, CUT)).as_py():
-            return self._whole(texts)
+        uncut = pc.match_substring_regex(texts, self.uncut)
+        if not pc.any(uncut).as_py():
+            return self._in_units(texts)
+        parts = [self._whole(texts.filter(uncut)), self._in_units(texts.filter(pc.invert(uncut)))]
+        flat, lengths = (np.concatenate(x) for x in zip(*parts))
+        apart = uncut.to_numpy(zero_copy_only=False)
+        place = np.argsort(np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)]))
+        return gather_runs(flat, (np.cumsum(lengths) - lengths)[place], lengths[place]), lengths[place]
+
+    def _in_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         cut = pc.split_pattern(self._marked(texts), CUT)
         coded = cut.flatten().dictionary_encode()
         entries = self._entries(coded.dictionary)

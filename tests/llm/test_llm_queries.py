@@ -200,7 +200,6 @@ def test_op5_held_out_accuracy(spark):
 
 def tokenizer(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t
 
 

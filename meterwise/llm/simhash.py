@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from meterwise.llm.arrow import text_slices
 from meterwise.llm.components import smallest_reachable
-from meterwise.llm.similar import SIMILARITY, similar_links, with_signatures
+from meterwise.llm.similar import SIMILARITY, similar_roots, with_signatures
 from meterwise.session import settle
 
 SHINGLE_WORDS = 3
@@ -175,24 +175,23 @@ def near_fingerprints(docs: DataFrame) -> DataFrame:
     cost nothing but their row. An empty table gives no rows. Further columns are left out.
     """
     prints = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text").alias("fp")), "fingerprints")
-    return prints.join(components_of(prints, near_links), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(components_of(prints, lambda nodes: smallest_reachable(near_links(nodes)).withColumnRenamed("node", "fp")), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """As ``near_fingerprints``, but texts are linked whose sets of five-word shingles are at least as
     similar as ``similarity`` (Jaccard), and ``fp`` is a digest of the set."""
     signed = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    prints = signed.select("doc_id", F.col("_fp").alias("fp"))
-    found = components_of(prints, lambda _: similar_links(signed, similarity))
+    prints = signed.select("doc.doc_id", "fp")
+    found = components_of(prints, lambda _: similar_roots(signed, similarity))
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def components_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def components_of(prints: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` of the distinct
-    fingerprints of ``prints`` (``doc_id``, ``fp``), joined by ``links`` of them."""
+    fingerprints of ``prints`` (``doc_id``, ``fp``); ``roots_of`` them gives those that are not their own root."""
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = smallest_reachable(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = nodes.join(roots_of(nodes.select("fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(firsts, "root").select("fp", "root", "component_id")
 
@@ -205,13 +204,12 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     whose texts are not shuffled while the winners' ids fit a broadcast.
     """
     signed = with_signatures(docs)
-    prints = signed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.xxhash64("text").alias("_text"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_text", "_row")
+    prints = signed.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), "fp", F.xxhash64("doc.text").alias("digest"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")
     firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
-    found = components_of(prints, lambda _: similar_links(signed, similarity))
+    found = components_of(prints, lambda _: similar_roots(signed, similarity))
     winners = firsts.join(found, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = winners.select(F.col("first._row").alias("_row"))
-    return signed.join(kept, "_row", "left_semi").select(*docs.columns)
+    return signed.join(winners.select("first.row"), "row", "left_semi").select("doc.*")
 
 
 def as_hex(fp: Column) -> Column:

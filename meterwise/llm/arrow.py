@@ -24,6 +24,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]
         stop = max(row + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield texts[row:stop]
         row = stop
+    pa.default_memory_pool().release_unused()  # a worker lives on between tasks
 
 
 def worker_state() -> dict:

@@ -15,7 +15,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -413,38 +413,47 @@ SPAN_TYPE = pa.list_(
 )
 
 
+def suspects(texts: pa.Array) -> Iterator[tuple[int, str]]:
+    """The place and text of what may have a finding or an encoding; the others are not looked at in Python."""
+    matters = pc.or_(pc.match_substring_regex(texts, MAY_MATTER), pc.match_substring_regex(texts, BASE64_RUN))
+    for i in np.flatnonzero(matters.to_numpy(zero_copy_only=False)):
+        yield int(i), texts[int(i)].as_py()
+
+
 @F.arrow_udf(SPANS)
 def secret_spans(text: pa.Array) -> pa.Array:
     """The spans of each text (null: none), code points, end exclusive, ordered by start,
     kind and end. ``decoded`` marks those that only a decoded layer shows."""
     out: list[list[dict]] = []
     for texts in text_slices(text):
-        matters = pc.or_(pc.match_substring_regex(texts, MAY_MATTER), pc.match_substring_regex(texts, BASE64_RUN))
         rows: list[list[dict]] = [[] for _ in range(len(texts))]
-        for i in np.flatnonzero(matters.to_numpy(zero_copy_only=False)):
-            whole = texts[int(i)].as_py()
+        for i, whole in suspects(texts):
             base = set(base_spans(whole))
             rows[i] = [dict(kind=k, start=a, end=b, decoded=(k, a, b) not in base) for k, a, b in all_spans(whole)]
         out += rows
     return pa.array(out, SPAN_TYPE)
 
 
+def without_spans(text: str, spans: Iterable[tuple[str, int, int]]) -> str:
+    """``text`` with ordered spans replaced by ``[kind]``; overlapping ones become one, named by the first."""
+    parts, last = [], 0
+    for kind, start, end in spans:
+        if start >= last:
+            parts += [text[last:start], f"[{kind}]"]
+        last = max(last, end)
+    return "".join(parts) + text[last:]
+
+
 @F.arrow_udf(T.StringType())
-def redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """Each text with its spans replaced by ``[kind]``; overlapping ones become one, named
-    by the first. Null stays null."""
+def redacted(text: pa.Array) -> pa.Array:
+    """Each text with the spans of all its secrets replaced by ``[kind]``. Null stays null."""
     out = []
-    for whole, found in zip(text, spans, strict=True):
-        if not found.is_valid or not len(found) or not whole.is_valid:
-            out.append(whole.as_py())
-            continue
-        whole, parts, last = whole.as_py(), [], 0
-        for s in found.as_py():
-            if s["start"] >= last:
-                parts += [whole[last : s["start"]], f"[{s['kind']}]"]
-            last = max(last, s["end"])
-        out.append("".join(parts) + whole[last:])
-    return pa.array(out, pa.string())
+    for texts in text_slices(text):
+        rows = texts.to_pylist()
+        for i, whole in suspects(texts):
+            rows[i] = without_spans(whole, all_spans(whole))
+        out += rows
+    return pc.if_else(pc.is_valid(text), pa.array(out, pa.string()), pa.scalar(None, pa.string()))
 
 
 def spans_text(spans: Column) -> Column:

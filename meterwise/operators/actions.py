@@ -29,9 +29,8 @@ def action_rows(
 ) -> DataFrame:
     """One log row per finding.
 
-    The id is a hash of the skill, the target and the day (plus ``identity``), not a
-    random value: a retried task or a repeated run gives the same ids, so a log
-    that received a batch twice can be reduced to one copy.
+    The id is a hash of the skill, the target and the day (plus ``identity``, which must tell
+    findings about one target apart), not a random value: a retried task or a repeated run gives the same ids.
     """
     skill = F.lit(skill) if isinstance(skill, str) else skill
     kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -78,8 +77,13 @@ def all_actions(*logs: DataFrame) -> DataFrame:
 
 
 def without_repeats(log: DataFrame) -> DataFrame:
-    """One copy of each action, for a log that a retried job appended to twice."""
-    return log.dropDuplicates(["action_id"])
+    """One copy of each action, the earliest, for a log that a retried job appended to twice. Rows that share an id
+    but say different things end the job: none is dropped unseen."""
+    content = [c for c in log.columns if c != "action_timestamp"]
+    copies = log.groupBy(*content).agg(F.min("action_timestamp").alias("action_timestamp"))
+    per_id = copies.groupBy("action_id").agg(F.first(F.struct(*log.columns)).alias("row"), F.count(F.lit(1)).alias("n"))
+    differs = F.raise_error(F.concat(F.lit("different actions share the id "), F.col("action_id")))
+    return per_id.select(F.when(F.col("n") == 1, F.col("row")).otherwise(differs).alias("row")).select("row.*")
 
 
 def alert_rows(findings: DataFrame, title: Column, message: Column, severity: Column, details: Column) -> DataFrame:

@@ -82,6 +82,7 @@ def waste_items(wrong: DataFrame, idle: DataFrame, no_tasks: DataFrame, cfg: Con
     hours = or_default(F.col("idle_hours"), F.lit(cfg.idle_hours).cast("long"))
 
     def item(rows: DataFrame, category: str, name, text, saving, target: str) -> DataFrame:
+        # A job on several clusters is an item of each.
         return rows.select(
             F.lit(category).alias("category"),
             name.alias("target"),
@@ -89,6 +90,7 @@ def waste_items(wrong: DataFrame, idle: DataFrame, no_tasks: DataFrame, cfg: Con
             saving.cast("double").alias("weekly_savings"),
             "workspace_id",
             F.col(target).alias("target_id"),
+            "cluster_id",
         )
 
     wrong_compute, idle_cluster, zero_tasks = CATEGORY_ORDER
@@ -115,7 +117,7 @@ def waste_items(wrong: DataFrame, idle: DataFrame, no_tasks: DataFrame, cfg: Con
 def top_waste_actions(items: DataFrame, cfg: Config, limit: int = 5) -> DataFrame:
     """The largest items, ranked. Ties keep the category order."""
     category = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_ORDER]), F.col("category"))
-    order = [F.desc("weekly_savings"), category.asc(), F.asc("target_id"), F.asc("workspace_id"), F.asc("description")]
+    order = [F.desc("weekly_savings"), category.asc(), F.asc("target_id"), F.asc("workspace_id"), F.asc("description"), F.asc("cluster_id")]
     largest = items.orderBy(*order).limit(limit)
     # The window is over the rows left by the limit.
     return largest.select(
@@ -137,7 +139,7 @@ def waste_actions(top: DataFrame, clock: Clock, cfg: Config) -> DataFrame:
         description=F.col("description"),
         savings=F.col("weekly_savings") * cfg.weeks_per_month,
         details=F.to_json(F.struct("category", "weekly_savings")),
-        identity=(F.col("category"), F.col("target")),
+        identity=(F.col("category"), F.col("target"), F.col("cluster_id")),
     )
 
 

@@ -32,7 +32,7 @@ from meterwise.plans import refresh
 from meterwise.plans.features import Features, SettledFeatures
 from meterwise.plans.findings import Findings
 from meterwise.session import scratch_path
-from meterwise.sinks.tables import create_all
+from meterwise.sinks.tables import batched_rows, create_all
 from meterwise.sources.driver_tables import (
     CLOCK,
     CONFIG,
@@ -402,30 +402,31 @@ def _stored_trend(i: Inputs) -> DataFrame:
 
 @query("stored_findings")
 def _stored_findings(i: Inputs) -> DataFrame:
-    """Logged twice; the second time adds nothing."""
+    """Logged twice; the second time replaces the first."""
     database = _new_database(i)
     create_all(i.spark, database)
     for _ in range(2):
         refresh.log_findings(i.settled, i.t, database, CLOCK, CONFIG)
-    return i.spark.table(f"{database}.agent_action_log").drop("details")
+    return batched_rows(i.spark, f"{database}.agent_action_log").drop("details")
 
 
 @query("stored_actions")
 def _stored_actions(i: Inputs) -> DataFrame:
     database = _new_database(i)
     create_all(i.spark, database)
-    refresh.record_actions(i.t.agent_action_log.drop("action_id", "action_timestamp"), database, CLOCK)
-    return i.spark.table(f"{database}.agent_action_log")
+    for _ in range(2):
+        refresh.record_actions(i.t.agent_action_log.drop("action_id", "action_timestamp"), database, CLOCK, "by-hand-1")
+    return batched_rows(i.spark, f"{database}.agent_action_log")
 
 
 @query("stored_turns")
 def _stored_turns(i: Inputs) -> DataFrame:
-    """Two batches; the second is numbered on from the first."""
+    """Two batches; the second is numbered on from the first, and comes twice."""
     database = _new_database(i)
     create_all(i.spark, database)
-    for _ in range(2):
-        refresh.record_turns(i.t.new_turns, database, CLOCK)
-    return i.spark.table(f"{database}.agent_conversation").select("session_id", "turn", "role", "content")
+    for batch in ("turns-1", "turns-2", "turns-2"):
+        refresh.record_turns(i.t.new_turns, database, CLOCK, batch)
+    return batched_rows(i.spark, f"{database}.agent_conversation").select("session_id", "turn", "role", "content")
 
 
 @query("stored_documents")

@@ -278,21 +278,21 @@ CTES |= {
         SELECT 'wrong_compute' AS category, target,
                'Migrate ''' || target || ''' from all-purpose to job compute (' || recent_runs || ' runs/week)'
                  AS description,
-               recent_runs * 5.0E0 AS weekly_savings, workspace_id, job_id AS target_id
+               recent_runs * 5.0E0 AS weekly_savings, workspace_id, job_id AS target_id, cluster_id
         FROM (SELECT *, coalesce(nullif(job_name, ''), 'job_' || job_id) AS target FROM wrong_compute)
         UNION ALL
         SELECT 'idle_cluster', target, 'Terminate idle cluster ''' || target || ''' (idle ' || hours || 'h)',
-               hours * 0.5E0 * 7, workspace_id, cluster_id
+               hours * 0.5E0 * 7, workspace_id, cluster_id, cluster_id
         FROM (SELECT *, coalesce(nullif(cluster_name, ''), cluster_id) AS target,
                      coalesce(nullif(idle_hours, 0), 2) AS hours FROM idle)
         UNION ALL
         SELECT 'zero_tasks', target,
                'Cluster ''' || target || ''' is running with 0 active tasks — consider auto-terminate',
-               20.0E0, workspace_id, cluster_id
+               20.0E0, workspace_id, cluster_id, cluster_id
         FROM (SELECT *, coalesce(nullif(cluster_name, ''), cluster_id) AS target FROM no_tasks)""",
     "top_waste": f"""
-        SELECT row_number() OVER (ORDER BY weekly_savings DESC, p, target_id, workspace_id, description) AS rank,
-               category, target, description, weekly_savings, workspace_id, target_id,
+        SELECT row_number() OVER (ORDER BY weekly_savings DESC, p, target_id, workspace_id, description, cluster_id) AS rank,
+               category, target, description, weekly_savings, workspace_id, target_id, cluster_id,
                {r('weekly_savings * 4.3E0', 2)} AS projected_savings
         FROM (SELECT *, list_position(['wrong_compute', 'idle_cluster', 'zero_tasks'], category) AS p FROM waste)
         ORDER BY rank LIMIT 5""",
@@ -379,7 +379,7 @@ CTES |= {
     ),
     "waste_actions": action(
         "top_waste", "wasteful_compute_detector", "recommendation", "target_id", "target", "description",
-        "weekly_savings * 4.3E0", "category", "target",
+        "weekly_savings * 4.3E0", "category", "target", "cluster_id",
     ),
     "budget_actions": action(
         "budget_alerts", "budget_forecast", "alert", "workspace_id", "'Workspace ' || workspace_id", "description",

@@ -19,7 +19,7 @@ from meterwise.plans.features import Features, StoredFeatures
 from meterwise.plans.findings import Findings
 from meterwise.schemas import conform
 from meterwise.session import settle
-from meterwise.sinks.tables import append_rows, create_all, publish_version
+from meterwise.sinks.tables import append_rows, batched_rows, create_all, publish_version, replace_batch
 from meterwise.sources.platform import PlatformTables
 
 
@@ -50,26 +50,25 @@ def log_reconciliation(
 
 
 def log_findings(features, tables: PlatformTables, database: str, clock: Clock, cfg: Config) -> None:
-    """Append the action rows of all four findings that the log does not have yet. Ids
-    name skill, target and day, so a repeated refresh adds nothing."""
+    """Make the action rows of all four findings the day's batch of the log. A repeated refresh replaces the batch."""
     found = Findings(features, tables, clock, cfg)
-    log = f"{database}.agent_action_log"
-    rows = without_repeats(found.all_actions)
-    if rows.sparkSession.catalog.tableExists(log):
-        rows = rows.join(rows.sparkSession.table(log).select("action_id"), "action_id", "left_anti")
-    append_rows(rows, log, schemas.ACTION_LOG)
+    rows = settle(without_repeats(found.all_actions), "findings")
+    replace_batch(rows, f"{database}.agent_action_log", schemas.ACTION_LOG, f"findings-{clock.day.isoformat()}")
 
 
-def record_actions(requests: DataFrame, database: str, clock: Clock) -> None:
-    """Append actions recorded by hand to the log."""
-    append_rows(log_actions(requests, clock), f"{database}.agent_action_log", schemas.ACTION_LOG)
+def record_actions(requests: DataFrame, database: str, clock: Clock, batch: str) -> None:
+    """Log actions recorded by hand, under the name of their batch; the same batch again adds nothing."""
+    rows = settle(log_actions(requests, clock), "actions")
+    replace_batch(rows, f"{database}.agent_action_log", schemas.ACTION_LOG, batch)
 
 
-def record_turns(new: DataFrame, database: str, clock: Clock) -> None:
-    """Number a batch of messages on from the log's last turns and append them."""
+def record_turns(new: DataFrame, database: str, clock: Clock, batch: str) -> None:
+    """Number a batch of messages on from the log's last turns and log them under the batch's name. The same
+    batch again is numbered on from the other batches, so it replaces its own rows by equal ones; only the last batch
+    of a session may be repeated."""
     log = f"{database}.agent_conversation"
-    rows = conversation_rows(assign_turns(new.sparkSession.table(log), new), clock)
-    append_rows(settle(rows, "turns"), log, schemas.CONVERSATION)
+    rows = conversation_rows(assign_turns(batched_rows(new.sparkSession, log, but=batch), new), clock)
+    replace_batch(settle(rows, "turns"), log, schemas.CONVERSATION, batch)
 
 
 def upsert_corpus(batch: DataFrame, database: str) -> None:

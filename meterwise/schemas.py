@@ -54,6 +54,8 @@ TABLES = {
     "knowledge_docs": KNOWLEDGE_DOCS,
     "reconciliation_log": RECONCILIATION,
 }
+# Partitioned by the batch that wrote a row: a repeated batch replaces its own rows (``sinks.tables.replace_batch``).
+BATCHED = {"agent_action_log", "agent_conversation"}
 # Replaced as a whole: views over versions (``sinks.tables.publish_version``).
 VERSIONED = {"feat_cluster_utilization", "feat_job_cost_trend", "feat_job_health", "knowledge_docs"}
 

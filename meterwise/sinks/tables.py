@@ -7,21 +7,27 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterwise.schemas import TABLES, VERSIONED, conform
+from meterwise.schemas import BATCHED, TABLES, VERSIONED, conform
 
+BATCH = "batch"
 
-def create_table_if_missing(spark: SparkSession, table: str, schema: T.StructType) -> None:
+
+def create_table_if_missing(spark: SparkSession, table: str, schema: T.StructType, batched: bool = False) -> None:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet")
+    if batched:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {BATCH} string) USING parquet PARTITIONED BY ({BATCH})")
+    else:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet")
 
 
 def create_all(spark: SparkSession, database: str) -> None:
     for name, schema in TABLES.items():
         table = f"{database}.{name}"
         if name not in VERSIONED:
-            create_table_if_missing(spark, table, schema)
+            create_table_if_missing(spark, table, schema, name in BATCHED)
         elif not spark.catalog.tableExists(table):
             publish_version(spark.createDataFrame([], schema), table)
 
@@ -40,6 +46,22 @@ def append_rows(df: DataFrame, table: str, schema: T.StructType) -> None:
     conform(df, schema).write.mode("append").format("parquet").saveAsTable(table)
 
 
+def replace_batch(df: DataFrame, table: str, schema: T.StructType, batch: str) -> None:
+    """Make ``df`` the rows of one batch of a batched table. A job that is repeated with its batch's name replaces what
+    it wrote before, rows that are gone included, and touches no other batch; so a retry
+    neither doubles nor drops rows, and nothing needs to be compared with the log."""
+    if not re.fullmatch(r"[\w.:-]+", batch):
+        raise ValueError(f"not a name for a batch: {batch!r}")
+    rows = conform(df, schema)
+    rows.sparkSession.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({BATCH} = '{batch}') SELECT * FROM {{rows}}", rows=rows)
+
+
+def batched_rows(spark: SparkSession, table: str, but: str | None = None) -> DataFrame:
+    """The rows of a batched table, without those of batch ``but``, whose files are not read."""
+    rows = spark.table(table)
+    return (rows if but is None else rows.where(F.col(BATCH) != but)).drop(BATCH)
+
+
 def upsert_rows(existing: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
     """Existing rows whose key is not among the updates, and the updates. Update keys
     must be unique."""

@@ -3,7 +3,9 @@ from __future__ import annotations
 import json
 from dataclasses import replace
 
+import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from meterwise.operators import actions, budget, sizing, spikes, waste
 from meterwise.schemas import ACTION_LOG
@@ -78,7 +80,22 @@ def test_spike_actions_have_the_log_schema_and_stable_ids(frame, clock, cfg):
     assert one["action_id"] == again["action_id"]
     assert one["projected_savings"] == 1500.0
     assert json.loads(one["details"])["cost_growth_pct"] == 50.0
-    assert actions.without_repeats(rows.unionByName(rows)).count() == 1
+    later = rows.withColumn("action_timestamp", F.col("action_timestamp") + F.expr("INTERVAL 1 HOUR"))
+    assert rows_of(actions.without_repeats(rows.unionByName(later))) == rows_of(rows)
+    other = rows.withColumn("description", F.lit("something else"))
+    with pytest.raises(Exception, match="share the id"):
+        actions.without_repeats(rows.unionByName(other)).collect()
+
+
+def test_a_job_on_two_clusters_gives_actions_of_their_own(frame, clock, cfg):
+    wrong = frame(
+        [("w", "1", "job", "a", "c", "UI", 5), ("w", "1", "job", "b", "c", "UI", 5)],
+        "workspace_id string, job_id string, job_name string, cluster_id string, cluster_name string, cluster_source string, recent_runs long",
+    )
+    none = frame([], "cluster_id string, workspace_id string, cluster_name string, last_active_hour timestamp, recent_cpu double, idle_hours long")
+    idle = frame([], "cluster_id string, workspace_id string, cluster_name string, active_tasks long")
+    rows = waste.waste_actions(waste.top_waste_actions(waste.waste_items(wrong, none, idle, cfg), cfg), clock, cfg)
+    assert rows.count() == 2 == actions.without_repeats(rows).count()
 
 
 def hours(*spec, cluster_id="k"):

@@ -5,9 +5,10 @@ from types import SimpleNamespace
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterwise import schemas, session
-from meterwise.plans import refresh
+from meterwise.plans import catalogue, refresh
 from meterwise.plans.features import StoredFeatures
 from meterwise.session import CHECKPOINT_DIR, scratch_cleared, settle, settle_once, shared_dir
 from meterwise.sinks import tables as sink
@@ -90,6 +91,29 @@ def test_append_checks_the_schema(spark, database):
         sink.append_rows(spark.range(1), f"{database}.docs", schemas.KNOWLEDGE_DOCS)
 
 
+def test_a_repeated_batch_replaces_its_own_rows_only(spark, database):
+    schema = T.StructType().add("k", "long").add("v", "string")
+    table = f"{database}.batches"
+    sink.create_table_if_missing(spark, table, schema, batched=True)
+    rows = lambda n, v: spark.range(n).select(F.col("id").alias("k"), F.lit(v).alias("v"))
+    for batch, given in (("a", rows(3, "old")), ("b", rows(2, "b")), ("a", rows(1, "new")), ("b", rows(2, "b"))):
+        sink.replace_batch(given, table, schema, batch)
+    assert rows_of(sink.batched_rows(spark, table)) == [(0, "b"), (0, "new"), (1, "b")]
+    assert rows_of(sink.batched_rows(spark, table, but="b")) == [(0, "new")]
+    sink.replace_batch(rows(0, "x"), table, schema, "a")  # what is gone goes
+    assert rows_of(sink.batched_rows(spark, table)) == [(0, "b"), (1, "b")]
+    with pytest.raises(ValueError, match="name for a batch"):
+        sink.replace_batch(rows(1, "x"), table, schema, "a' OR")
+
+
+def test_findings_at_the_size_of_the_correctness_run(spark):
+    """At this size a job's waste is on two clusters: two rows of one target."""
+    folder = "/root/testdata/sf0.01"
+    stored, found = (catalogue.queries()[name](spark, folder) for name in ("stored_findings", "all_actions"))
+    ids = [r["action_id"] for r in found.select("action_id").collect()]
+    assert len(ids) == len(set(ids)) and rows_of(stored) == rows_of(found)
+
+
 def test_overwrite_replaces_rows_and_can_partition(spark, database):
     table = f"{database}.trend"
     day = F.lit("2024-01-01").cast("date")

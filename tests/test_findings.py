@@ -208,7 +208,7 @@ def test_zero_task_clusters_need_an_open_recent_task(frame, clock):
 
 
 def test_waste_defaults_and_tie_order(frame, clock, cfg):
-    wrong = frame([("w", "7", None, 4)], "workspace_id string, job_id string, job_name string, recent_runs long")
+    wrong = frame([("w", "7", None, "k", 4)], "workspace_id string, job_id string, job_name string, cluster_id string, recent_runs long")
     idle = frame(
         [("a", "w", None, None), ("b", "w", "b", 0), ("c", "w", "c", 10)],
         "cluster_id string, workspace_id string, cluster_name string, idle_hours long",

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterwise.clock import Clock
 from meterwise.functions.numeric import steady_round
 from meterwise.operators import (
     budget,
@@ -28,7 +30,7 @@ from meterwise.operators import (
     versions,
     waste,
 )
-from meterwise.plans import refresh
+from meterwise.plans import incremental, refresh
 from meterwise.plans.features import Features, SettledFeatures
 from meterwise.plans.findings import Findings
 from meterwise.session import scratch_path
@@ -400,6 +402,27 @@ def _stored_trend(i: Inputs) -> DataFrame:
     return rounded(stored.trend, **TREND_PLACES)
 
 
+DAYS_BEFORE = Clock(CLOCK.as_of - timedelta(days=3))
+
+
+@query("days_of_utilization")
+def _days_of_utilization(i: Inputs) -> DataFrame:
+    """Refreshed three days ago and now: the days between are added, those out of the window dropped."""
+    database = _new_database(i)
+    for clock in (DAYS_BEFORE, CLOCK):
+        incremental.refresh_hours(i.t, database, clock, CONFIG)
+    return rounded(incremental.DayFeatures(i.t, database).hourly.drop("updated_at"), **HOURLY_PLACES)
+
+
+@query("days_of_trend")
+def _days_of_trend(i: Inputs) -> DataFrame:
+    """As ``days_of_utilization``; rows whose frames have changed are replaced too."""
+    database = _new_database(i)
+    for clock in (DAYS_BEFORE, CLOCK):
+        incremental.refresh_costs(i.t, database, clock, CONFIG)
+    return rounded(incremental.DayFeatures(i.t, database).trend.drop("updated_at"), **TREND_PLACES)
+
+
 @query("stored_findings")
 def _stored_findings(i: Inputs) -> DataFrame:
     """Logged twice; the second time replaces the first."""

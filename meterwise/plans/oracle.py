@@ -886,6 +886,8 @@ SQL |= {
         ]
     ),
     "stored_trend": f"SELECT {TREND}, {AS_OF} AS updated_at FROM trend4",
+    "days_of_utilization": SQL["cluster_hourly_utilization"],
+    "days_of_trend": SQL["job_cost_trend"],
     "stored_findings": SQL["all_actions"],
     "stored_actions": f"""
         SELECT sha256(concat_ws('|', skill_name, workspace_id, target_id, '2024-01-31', action_type, description))

@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Collection
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterwise.clock import date_literal
 from meterwise.schemas import BATCHED, TABLES, VERSIONED, conform
+from meterwise.session import settle
 
 BATCH = "batch"
 
@@ -56,6 +60,28 @@ def replace_batch(df: DataFrame, table: str, schema: T.StructType, batch: str) -
     rows.sparkSession.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({BATCH} = '{batch}') SELECT * FROM {{rows}}", rows=rows)
 
 
+def create_day_table_if_missing(spark: SparkSession, table: str, schema: T.StructType) -> None:
+    """A table partitioned by its last column, a date. What overwrites it replaces the partitions it has rows for."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    kind = f"USING parquet OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({schema.fields[-1].name})"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) {kind}")
+
+
+def replace_days(df: DataFrame, table: str, column: str, days: Collection[date]) -> None:
+    """Make ``df`` the rows of ``days`` in a table of ``create_day_table_if_missing`` with date ``column``. Other
+    partitions keep their files; days without rows any more are dropped. Doing it again gives the same table."""
+    spark = df.sparkSession
+    rows = settle(df.where(F.col(column).isin([date_literal(d) for d in days])).hint("rebalance", column), "days")
+    held = {r[0] for r in rows.select(column).distinct().collect()}
+    rows.write.insertInto(table, overwrite=True)
+    drop_days(spark, table, column, set(days) - held)
+
+
+def drop_days(spark: SparkSession, table: str, column: str, days: Collection[date]) -> None:
+    for day in sorted(days):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({column} = DATE '{day.isoformat()}')")
+
+
 def batched_rows(spark: SparkSession, table: str, but: str | None = None) -> DataFrame:
     """The rows of a batched table, without those of batch ``but``, whose files are not read."""
     rows = spark.table(table)

@@ -79,6 +79,13 @@ def node_hours(samples: DataFrame, hour: Column) -> DataFrame:
     return samples.groupBy(*CLUSTER_KEY, hour.alias("hour_window"), "instance_id", "node_type").agg(*_sums())
 
 
+def summed_node_hours(partials: DataFrame) -> DataFrame:
+    """Several node hours of one node, type and hour become one."""
+    sums = [F.sum(c).alias(c) for c in ("cpu_sum", "cpu_n", "mem_sum", "mem_n")] + [F.max(c).alias(c) for c in ("cpu_max", "mem_max")]
+    merged = partials.groupBy(*HOUR_KEY, "instance_id", "node_type").agg(*sums)
+    return merged.select(*partials.columns)
+
+
 def merge_node_hours(partials: DataFrame) -> DataFrame:
     """Cluster hours from node hours."""
     return _cluster_hours(

@@ -433,6 +433,15 @@ def _stored_findings(i: Inputs) -> DataFrame:
     return batched_rows(i.spark, f"{database}.agent_action_log").drop("details")
 
 
+@query("stored_checks")
+def _stored_checks(i: Inputs) -> DataFrame:
+    """The log of a fast run of the checks."""
+    database = _new_database(i)
+    create_all(i.spark, database)
+    refresh.log_reconciliation(i.settled, i.t, database, CLOCK, CONFIG)
+    return i.spark.table(f"{database}.reconciliation_log").drop("detail")
+
+
 @query("stored_actions")
 def _stored_actions(i: Inputs) -> DataFrame:
     database = _new_database(i)

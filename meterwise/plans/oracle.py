@@ -886,6 +886,9 @@ SQL |= {
         ]
     ),
     "stored_trend": f"SELECT {TREND}, {AS_OF} AS updated_at FROM trend4",
+    "stored_checks": f"""
+        SELECT *, 'fast' AS mode, {AS_OF} AS checked_at FROM all_checks
+        WHERE check_id IN ('C2', 'C3', 'C4', 'J2', 'J3', 'J4', 'H1', 'H4', 'H6', 'A1', 'A2', 'A3')""",
     "days_of_utilization": SQL["cluster_hourly_utilization"],
     "days_of_trend": SQL["job_cost_trend"],
     "stored_findings": SQL["all_actions"],

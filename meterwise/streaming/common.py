@@ -1,9 +1,19 @@
+"""State of a stream in parts: hours, days, or buckets of a key's hash.
+
+A micro-batch merges its rows into the parts that it touches and writes these anew,
+``batch_id=7/hour=2024-01-31-05``; all others stay as they are. Of a part the folder of the newest complete
+batch counts, so a reader meets one folder for each part, however many batches there were.
+"""
+
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Collection
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from meterwise.session import settle
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -16,8 +26,8 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-# Every so manieth batch holds what all before it held, merged; older ones need not be read.
-COMPACT_EVERY = 10
+# Folders of a part that stay besides the one being written: the newest, and the one that a reader may still hold.
+KEPT = 2
 
 
 def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
@@ -36,16 +46,51 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def is_compacted(batch_id: int) -> bool:
-    return batch_id % COMPACT_EVERY == 0
-
-
-def last_compacted(batch_id: int) -> int:
-    """The first batch that a reader of the batches up to ``batch_id`` needs."""
-    return batch_id // COMPACT_EVERY * COMPACT_EVERY
-
-
-def batches_before(spark: SparkSession, path: str, schema, batch_id: int | None = None) -> DataFrame:
-    """Rows of the batches so far, or of those before ``batch_id``."""
-    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return rows if batch_id is None else rows.where(F.col("batch_id") < batch_id)
+def parts(spark: SparkSession, path: str, name: str, before: int | None = None) -> dict[str, list[int]]:
+    """The batches, ascending, that wrote each part; only complete ones, and those before batch ``before``. The
+    list grows with the parts, which are hours, days or buckets, and not with the batches: see ``merge_batch``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def found(pattern: str) -> list[list[str]]:
+        return [str(status.getPath()).split("/")[-2:] for status in files.globStatus(folder(f"{path}/batch_id=*/{pattern}")) or []]
+
+    number = lambda batch: int(batch.removeprefix("batch_id="))
+    complete = {number(batch) for batch, _ in found("_SUCCESS")}
+    written: dict[str, list[int]] = defaultdict(list)
+    for batch, part in found(f"{name}=*"):
+        if number(batch) in complete and (before is None or number(batch) < before):
+            written[part.removeprefix(f"{name}=")].append(number(batch))
+    return {part: sorted(batches) for part, batches in written.items()}
+
+
+def newest(
+    spark: SparkSession, path: str, schema: T.StructType, name: str, before: int | None = None, only: Collection[str] | None = None
+) -> DataFrame:
+    """The rows of all parts, or of those in ``only``, as the newest batch left them, or the newest before ``before``.
+    Folders of other parts are not read."""
+    written = parts(spark, path, name, before)
+    chosen = [f"{path}/batch_id={b[-1]}/{name}={part}" for part, b in sorted(written.items()) if only is None or part in only]
+    return spark.read.schema(schema).parquet(*chosen) if chosen else spark.createDataFrame([], schema)
+
+
+def merge_batch(
+    rows: DataFrame, path: str, batch_id: int, name: str, part: Column, merge: Callable[[DataFrame, DataFrame], DataFrame]
+) -> None:
+    """Write the parts that ``rows`` touch as ``merge`` (rows before, rows) makes them. ``part`` gives a row's part, a
+    text without slashes, and must give merged rows the part of their origins.
+
+    A repeated batch merges with the state before it and replaces its own folder. Folders that KEPT newer
+    complete ones have superseded are deleted, so the state stays within a few times its size.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    rows = settle(rows, "batch")
+    touched = {r[0] for r in rows.select(part).distinct().collect()}
+    merged = merge(newest(spark, path, schema, name, batch_id, touched), rows)
+    merged.withColumn(name, part).hint("rebalance", name).write.mode("overwrite").partitionBy(name).parquet(f"{path}/batch_id={batch_id}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = parts(spark, path, name, batch_id)
+    for value in touched & set(written):
+        for old in written[value][:-KEPT]:
+            files.delete(folder(f"{path}/batch_id={old}/{name}={value}"), True)

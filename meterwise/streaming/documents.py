@@ -6,51 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterwise.functions.versioning import newest_version, top_per_key
+from meterwise.functions.versioning import newest_version
 from meterwise.operators.knowledge import changed_documents, index_state
-from meterwise.streaming.common import batches_before, is_compacted, last_compacted, run_batches, write_batch
+from meterwise.streaming.common import merge_batch, newest, run_batches, write_batch
 
-STATE = T.StructType(
-    [
-        T.StructField("doc_id", T.StringType()),
-        T.StructField("content_hash", T.LongType()),
-        T.StructField("batch_id", T.IntegerType()),
-    ]
-)
+STATE = T.StructType().add("doc_id", "string").add("content_hash", "long")
+# A state of 10 billion documents (some 300 GB) wants some 65,536. The number must not change while a state is kept.
+BUCKETS = 64
 
 
-def _indexed_before(spark: SparkSession, path: str, batch_id: int, keys: DataFrame | None = None) -> DataFrame:
-    """The last known hash of each of the ``keys``, or of all."""
-    if batch_id == 0:
-        return spark.createDataFrame([], STATE).drop("batch_id")
-    known = batches_before(spark, path, STATE, batch_id)
-    known = known.where(F.col("batch_id") >= last_compacted(batch_id - 1))
-    if keys is not None:
-        known = known.join(keys, "doc_id", "left_semi")
-    return top_per_key(known, ["doc_id"], [F.desc("batch_id")]).drop("batch_id")
-
-
-def _state_after(spark: SparkSession, path: str, batch_id: int, fed: DataFrame) -> DataFrame:
-    """The hashes that a batch fed; those of all keys where the state is compacted."""
-    if not is_compacted(batch_id):
-        return index_state(fed)
-    older = _indexed_before(spark, path, batch_id).join(fed.select("doc_id"), "doc_id", "left_anti")
-    return older.unionByName(index_state(fed))
-
-
-def refresh(documents: DataFrame, feed: str, state: str, checkpoint: str) -> None:
+def refresh(documents: DataFrame, feed: str, state: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """Write the documents of each micro-batch that the index lacks or has with other
     content to ``feed``, and remember their hashes in ``state``. Of several versions in one
-    batch the newest by ``updated_at`` counts. A repeated batch sees the state before it,
-    so it gives the same rows."""
+    batch the newest by ``updated_at`` counts. A batch reads the buckets of its keys and writes those of changed
+    documents. A repeated batch sees the state before it, so it gives the same rows."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("string")
+
+    def replaced(before: DataFrame, fed: DataFrame) -> DataFrame:
+        return before.join(fed.select("doc_id"), "doc_id", "left_anti").unionByName(fed)
 
     def changed(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}
         batch = newest_version(batch, ["doc_id"], "updated_at")
-        rows = changed_documents(batch, _indexed_before(spark, state, batch_id, batch.select("doc_id")))
+        rows = changed_documents(batch, newest(spark, state, STATE, "bucket", batch_id, touched))
         write_batch(rows, feed, batch_id)
         written = spark.read.parquet(f"{feed}/batch_id={batch_id}")
-        write_batch(_state_after(spark, state, batch_id, written), state, batch_id)
+        merge_batch(index_state(written), state, batch_id, "bucket", bucket, replaced)
 
     run_batches(documents, checkpoint, changed)
 

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterwise.operators.features import RUN_KEY, collapse_periods
-from meterwise.streaming.common import batches_before, is_compacted, last_compacted, run_batches, write_batch
+from meterwise.streaming.common import merge_batch, newest, run_batches
+
+PARTIAL = (
+    T.StructType()
+    .add("workspace_id", "string").add("job_id", "string").add("run_id", "long")
+    .add("run_start", "timestamp").add("run_end", "timestamp").add("result_state", "string")
+)
 
 
 def refresh(periods: DataFrame, path: str, checkpoint: str) -> None:
-    """Collapse each micro-batch by itself: the minimum, maximum and greatest state of a run
-    merge later. Every COMPACT_EVERY batches the runs so far are merged with the batch's, so
-    that readers meet a run a bounded number of times. A repeated batch sees only those
-    before it and gives the same rows."""
+    """Collapse each micro-batch by itself: the minimum, maximum and greatest state of a run merge later. Partial
+    runs are kept by the day they start on, and a batch writes its own days anew, not all runs. A run whose
+    periods come in batches of several days has a partial row on each of these."""
+
+    day = F.coalesce(F.date_format("run_start", "yyyy-MM-dd"), F.lit("none"))
 
     def collapse(batch: DataFrame, batch_id: int) -> None:
-        partial = collapse_periods(batch)
-        if batch_id and is_compacted(batch_id):
-            before = batches_before(batch.sparkSession, path, partial.schema.add("batch_id", "integer"), batch_id)
-            before = before.where(F.col("batch_id") >= last_compacted(batch_id - 1))
-            partial = _merged(before.drop("batch_id").unionByName(partial))
-        write_batch(partial, path, batch_id)
+        merge_batch(collapse_periods(batch), path, batch_id, "day", day, lambda before, new: _merged(before.unionByName(new)))
 
     run_batches(periods, checkpoint, collapse)
 
@@ -32,7 +35,4 @@ def _merged(partial: DataFrame) -> DataFrame:
 
 def collapsed_from(spark: SparkSession, path: str) -> DataFrame:
     """All runs so far."""
-    stored = spark.read.option("basePath", path).parquet(path)
-    newest = stored.agg(F.max("batch_id")).first()[0] or 0
-    partial = stored.where(F.col("batch_id") >= last_compacted(newest))
-    return _merged(partial).select(*RUN_KEY, "run_start", "run_end", "result_state")
+    return _merged(newest(spark, path, PARTIAL, "day")).select(*RUN_KEY, "run_start", "run_end", "result_state")

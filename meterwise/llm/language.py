@@ -8,7 +8,7 @@ segmentations.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,20 +17,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.llm.arrow import sums_by_row, text_slices
+from meterwise.llm.arrow import list_array, sums_by_row, text_slices
+from meterwise.session import settle
 
 UNKNOWN = "und"
 MARK = "▁"  # begins a word, as in the vocabulary
 LONGEST_WORD = 32  # longer runs of letters are scored in parts of this length
-MEMO_WORDS = 200_000
+# Bounds of memory, without effect on results: scores (words times languages) that a worker remembers, and that one
+# pass of the forward algorithm holds at each end; languages scored at once.
+MEMO_SCORES = 4_000_000
+PASS_SCORES = 400_000
+BLOCK = 16
 
 
 @dataclass(frozen=True)
 class LanguagePlan:
-    # Bounds of the sample: documents and distinct words for each language, and languages.
+    # Bounds of the sample, for each language: documents, and distinct words.
     most_documents: int = 1_000
     most_words: int = 20_000
-    most_languages: int = 200
     rounds: int = 3
     smoothing: float = 0.1
 
@@ -135,33 +139,54 @@ class LanguageModel:
     table: np.ndarray  # probability of each piece (then: unknown letter, none) by language
 
 
+_LEARNED = "lang string, pieces array<int>, probabilities array<double>, rest double"
+
+
+def _learner(pieces: list[str], plan: LanguagePlan) -> Callable[[pa.Table], pa.Table]:
+    """Learns one language from its words (``lang``, ``word``, ``n``): the pieces that its words can
+    hold, their probabilities, and the one of all others."""
+
+    def learn(words: pa.Table) -> pa.Table:
+        ordered = words.sort_by("word")
+        marked = pc.binary_join_element_wise(pa.scalar(MARK), ordered["word"].combine_chunks(), "")
+        counts = ordered["n"].to_numpy().astype(float)[:, None]
+        column = Segmenter(pieces).learn(marked, counts, plan.rounds, plan.smoothing)[:-1, 0]
+        rest = column.min()
+        known = np.flatnonzero(column > rest)
+        lists = [list_array(x, np.array([len(known)])) for x in (known.astype(np.int32), column[known])]
+        return pa.table([ordered["lang"][:1].combine_chunks(), *lists, pa.array([rest])], ["lang", "pieces", "probabilities", "rest"])
+
+    return learn
+
+
 def fit_languages(docs: DataFrame, vocabulary: str, plan: LanguagePlan | None = None) -> LanguageModel:
     """Learn from ``docs`` (``doc_id``, ``text``, ``lang``); null ``lang`` and texts without letters teach
     nothing. The sample takes the documents of least hashed id of each language, and its most frequent
-    words; both bounds are the plan's. Without any example, no language is learned."""
+    words (long ones in the parts that scoring reads); both bounds are the plan's. Every language with an example is learned,
+    each in a task of its own; the driver receives the learned probabilities, at most one a
+    piece and language. Without any example, no language is learned. Rows of equal ``doc_id`` are taken together;
+    further columns do not matter."""
     plan = plan or LanguagePlan()
     known = docs.where("lang is not null and text is not null")
     per_language = Window.partitionBy("lang")
     ids = known.select("lang", "doc_id").withColumn("k", F.row_number().over(per_language.orderBy(F.xxhash64("doc_id"), "doc_id")))
-    sample = F.broadcast(ids.where(F.col("k") <= plan.most_documents).select("lang", "doc_id").distinct())
+    # Written, so that its true size decides how texts meet it.
+    sample = settle(ids.where(F.col("k") <= plan.most_documents).select("lang", "doc_id").distinct(), "language-sample")
     texts = known.select("lang", "doc_id", "text").join(sample, ["lang", "doc_id"])
-    words = texts.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    parts = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), rf"(\p{{L}}{{{LONGEST_WORD}}})", "$1 ")
+    words = texts.select("lang", F.explode(F.split(parts, " ")).alias("word")).where("word <> ''")
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.withColumn("k", F.row_number().over(per_language.orderBy(F.desc("n"), "word"))).where(F.col("k") <= plan.most_words)
-    rows = top.select("lang", "word", "n").collect()
-    languages = sorted({r["lang"] for r in rows})[: plan.most_languages]
-    pieces = vocabulary_pieces(vocabulary)
-    letters = {c for r in rows for c in r["word"]}
-    pieces = sorted({*pieces, *letters, MARK})
-    if not languages:
-        return LanguageModel([], pieces, np.zeros((len(pieces) + 2, 0)))
-    number = {w: i for i, w in enumerate(sorted({r["word"][:LONGEST_WORD] for r in rows}))}
-    matrix = np.zeros((len(number), len(languages)))
-    for r in rows:
-        if r["lang"] in languages:
-            matrix[number[r["word"][:LONGEST_WORD]], languages.index(r["lang"])] += r["n"]
-    marked = pa.array([MARK + w for w in number], pa.string())
-    return LanguageModel(languages, pieces, Segmenter(pieces).learn(marked, matrix, plan.rounds, plan.smoothing))
+    top = settle(top.select("lang", "word", "n"), "language-words")
+    letters = top.select(F.explode(F.split("word", "")).alias("letter")).distinct().collect()  # at most Unicode's
+    pieces = sorted({*vocabulary_pieces(vocabulary), *(r["letter"] for r in letters if r["letter"]), MARK})
+    learned = top.groupBy("lang").applyInArrow(_learner(pieces, plan), _LEARNED)
+    rows = sorted(learned.collect(), key=lambda r: r["lang"])
+    table = np.zeros((len(pieces) + 2, len(rows)))
+    for at, row in enumerate(rows):
+        table[:-1, at] = row["rest"]
+        table[row["pieces"], at] = row["probabilities"]
+    return LanguageModel([r["lang"] for r in rows], pieces, table)
 
 
 class Scorer:
@@ -169,34 +194,48 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.segmenter = model, Segmenter(model.pieces)
+        n = len(model.languages)
+        self.blocks = [slice(at, min(n, at + BLOCK)) for at in range(0, n, BLOCK)]
         self.forget()
 
     def forget(self) -> None:
         self.words = pa.array([], pa.string())
-        self.scores = np.zeros((0, len(self.model.languages)))
-
-    def _scores_of(self, distinct: pa.Array) -> np.ndarray:
+        self.scores = [np.zeros((0, b.stop - b.start)) for b in self.blocks]
+
+    def _computed(self, words: pa.Array, block: slice) -> np.ndarray:
+        """A row for each word, a column for each language of the block."""
+        marked = pc.binary_join_element_wise(pa.scalar(MARK), words, "")
+        table, step = self.model.table[:, block], PASS_SCORES // BLOCK
+        passes = [self.segmenter.log_probability(marked[at : at + step], table) for at in range(0, len(marked), step)]
+        return np.concatenate(passes) if passes else np.zeros((0, table.shape[1]))
+
+    def _scores_of(self, distinct: pa.Array) -> Iterator[np.ndarray]:
+        """The scores of the words, one block of languages after the other."""
+        most = MEMO_SCORES // max(1, len(self.model.languages))
         found = pc.index_in(distinct, value_set=self.words)
         new = distinct.filter(pc.is_null(found))
+        if len(self.words) + len(new) > most:
+            self.forget()
+            new = distinct
+        if len(new) > most:
+            yield from (self._computed(distinct, block) for block in self.blocks)
+            return
         if len(new):
-            if len(self.words) + len(new) > MEMO_WORDS:
-                self.forget()
-                new = distinct
-            marked = pc.binary_join_element_wise(pa.scalar(MARK), new, "")
-            self.scores = np.concatenate([self.scores, self.segmenter.log_probability(marked, self.model.table)])
+            self.scores = [np.concatenate([s, self._computed(new, b)]) for s, b in zip(self.scores, self.blocks, strict=True)]
             self.words = pa.concat_arrays([self.words, new])
             found = pc.index_in(distinct, value_set=self.words)
-        return self.scores[found.to_numpy(zero_copy_only=False).astype(np.int64)]
+        at = found.to_numpy(zero_copy_only=False).astype(np.int64)
+        yield from (s[at] for s in self.scores)
 
     def predict(self, texts: pa.Array) -> pa.Array:
         names, scores = [], []
         for part in text_slices(texts):
             flat, counts = words_of(part)
             coded = flat.dictionary_encode()
-            by_word = self._scores_of(coded.dictionary) if len(coded.dictionary) else np.zeros((0, len(self.model.languages)))
-            total = sums_by_row(by_word[coded.indices.to_numpy(zero_copy_only=False)], counts)
-            known = (counts > 0) & bool(self.model.languages)
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            known = counts > 0
             if self.model.languages:
+                total = np.concatenate([sums_by_row(scores[at], counts) for scores in self._scores_of(coded.dictionary)], axis=1)
                 best = total.argmax(axis=1)
                 odds = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 names += [self.model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
@@ -209,7 +248,8 @@ class Scorer:
 
 def language_of(model: LanguageModel) -> Callable[[Column], Column]:
     """A column function: struct ``lang_pred`` and ``score``, the language's posterior under equal
-    priors. ``und`` and 0 for null, for texts without a letter, and if no language was learned."""
+    priors. ``und`` and 0 for null, for texts without a letter, and if no language was learned. Equal texts
+    get scores that are equal but for rounding; no rows give none."""
     made: list[Scorer] = []
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

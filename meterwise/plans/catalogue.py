@@ -470,6 +470,15 @@ def _stored_documents(i: Inputs) -> DataFrame:
     return i.spark.table(f"{database}.knowledge_docs")
 
 
+@query("stored_search")
+def _stored_search(i: Inputs) -> DataFrame:
+    """The search over the corpus as the batches left it."""
+    found = knowledge.semantic_search(
+        _stored_documents(i), i.t.document_vectors, knowledge.label_centroids(i.t.document_vectors), CONFIG
+    )
+    return rounded(found, score=6)
+
+
 @query("stored_report")
 def _stored_report(i: Inputs) -> DataFrame:
     database = _new_database(i)

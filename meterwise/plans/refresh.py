@@ -19,7 +19,7 @@ from meterwise.plans.features import Features, StoredFeatures
 from meterwise.plans.findings import Findings
 from meterwise.schemas import conform
 from meterwise.session import settle
-from meterwise.sinks.tables import append_rows, batched_rows, create_all, publish_version, replace_batch
+from meterwise.sinks.tables import append_rows, batched_rows, create_all, publish_version, replace_batch, upsert_buckets
 from meterwise.sources.platform import PlatformTables
 
 
@@ -72,10 +72,8 @@ def record_turns(new: DataFrame, database: str, clock: Clock, batch: str) -> Non
 
 
 def upsert_corpus(batch: DataFrame, database: str) -> None:
-    """Publish the corpus after the batch."""
-    corpus = f"{database}.knowledge_docs"
-    merged = upsert_documents(batch.sparkSession.table(corpus), batch)
-    publish_version(conform(merged, schemas.KNOWLEDGE_DOCS), corpus)
+    """Publish the corpus after the batch. Buckets without a key of the batch keep their files."""
+    upsert_buckets(batch, f"{database}.knowledge_docs", schemas.KNOWLEDGE_DOCS, schemas.BUCKETED["knowledge_docs"], upsert_documents)
 
 
 def report_views(features, tables: PlatformTables, clock: Clock, cfg: Config) -> dict[str, DataFrame]:

@@ -57,7 +57,9 @@ TABLES = {
 # Partitioned by the batch that wrote a row: a repeated batch replaces its own rows (``sinks.tables.replace_batch``).
 BATCHED = {"agent_action_log", "agent_conversation"}
 # Replaced as a whole: views over versions (``sinks.tables.publish_version``).
-VERSIONED = {"feat_cluster_utilization", "feat_job_cost_trend", "feat_job_health", "knowledge_docs"}
+VERSIONED = {"feat_cluster_utilization", "feat_job_cost_trend", "feat_job_health"}
+# In buckets of the hash of a key, here named: an upsert writes the buckets it touches (``sinks.tables.upsert_buckets``).
+BUCKETED = {"knowledge_docs": "doc_id"}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -5,18 +5,22 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise.clock import date_literal
-from meterwise.schemas import BATCHED, TABLES, VERSIONED, conform
+from meterwise.schemas import BATCHED, BUCKETED, TABLES, VERSIONED, conform
 from meterwise.session import settle
+from meterwise.streaming.common import merge_batch, parts
 
 BATCH = "batch"
+BUCKET = "bucket"
+# A table of 10 TB wants some 16,384, so that a bucket is rewritten in less than a GB. Fixed when a table is created.
+BUCKETS = 64
 
 
 def create_table_if_missing(spark: SparkSession, table: str, schema: T.StructType, batched: bool = False) -> None:
@@ -30,7 +34,9 @@ def create_table_if_missing(spark: SparkSession, table: str, schema: T.StructTyp
 def create_all(spark: SparkSession, database: str) -> None:
     for name, schema in TABLES.items():
         table = f"{database}.{name}"
-        if name not in VERSIONED:
+        if name in BUCKETED:
+            create_buckets_if_missing(spark, table, schema)
+        elif name not in VERSIONED:
             create_table_if_missing(spark, table, schema, name in BATCHED)
         elif not spark.catalog.tableExists(table):
             publish_version(spark.createDataFrame([], schema), table)
@@ -102,12 +108,20 @@ def publish_version(df: DataFrame, name: str) -> str:
     them; older ones are dropped. One writer at a time. Returns the table's name.
     """
     spark = df.sparkSession
-    version = f"{name}__{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+    version = _new_version(name)
     df.write.format("parquet").saveAsTable(version)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    _show(spark, name, version, "*")
+    return version
+
+
+def _new_version(name: str) -> str:
+    return f"{name}__{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+
+
+def _show(spark: SparkSession, name: str, version: str, columns: str) -> None:
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM {version}")
     for old in versions_of(spark, name)[:-2]:
         spark.sql(f"DROP TABLE {old}")
-    return version
 
 
 def versions_of(spark: SparkSession, name: str) -> list[str]:
@@ -115,3 +129,52 @@ def versions_of(spark: SparkSession, name: str) -> list[str]:
     database, view = name.rsplit(".", 1)
     tables = [t.tableName for t in spark.sql(f"SHOW TABLES IN {database} LIKE '{view}__*'").collect()]
     return [f"{database}.{t}" for t in sorted(tables) if re.fullmatch(rf"{re.escape(view)}__\d{{20}}_[0-9a-f]{{8}}", t)]
+
+
+def create_buckets_if_missing(spark: SparkSession, name: str, schema: T.StructType, buckets: int = BUCKETS) -> None:
+    """An empty table for ``upsert_buckets``. Like ``publish_version``, ``name`` is a view of the newest version."""
+    if not spark.catalog.tableExists(name):
+        _publish_buckets(spark, name, schema, -1, buckets)
+
+
+def upsert_buckets(
+    batch: DataFrame, name: str, schema: T.StructType, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]
+) -> None:
+    """Merge ``batch`` into a table of ``create_buckets_if_missing``, whose rows lie in buckets of the hash of ``key``.
+
+    The buckets that the batch's keys fall into are read, merged by ``merge`` (rows before, batch) and written anew; a new
+    version takes all other buckets over from the last one, files and all. So the work follows the buckets that a batch
+    touches, not the table. Readers see the last version until the new is complete, and keep its files over
+    one more. A batch that failed before its version was published counts for nothing and is written over by the
+    next, so it can be repeated. One writer at a time.
+    """
+    spark = batch.sparkSession
+    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {versions_of(spark, name)[-1]}").collect()}
+    number, buckets = int(properties["number"]) + 1, int(properties["buckets"])
+    merge_batch(conform(batch, schema), _bucket_folder(spark, name), number, BUCKET, bucket_of(key, buckets), merge)
+    _publish_buckets(spark, name, schema, number, buckets)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")
+
+
+def _bucket_folder(spark: SparkSession, name: str) -> str:
+    database, view = name.rsplit(".", 1)
+    return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{view}__{BUCKET}s"
+
+
+def _publish_buckets(spark: SparkSession, name: str, schema: T.StructType, number: int, buckets: int) -> None:
+    """A version whose partitions are the folders that batches up to ``number`` wrote last. It owns no files: dropping
+    it leaves them to the versions that share them; ``merge_batch`` deletes those that none does."""
+    folder, version = _bucket_folder(spark, name), _new_version(name)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(
+        f"CREATE TABLE {version} ({columns}, {BUCKET} string) USING parquet PARTITIONED BY ({BUCKET}) "
+        f"LOCATION '{folder}' TBLPROPERTIES ('number' = '{number}', 'buckets' = '{buckets}')"
+    )
+    written = parts(spark, folder, BUCKET, number + 1)
+    if written:
+        added = [f"PARTITION ({BUCKET} = '{b}') LOCATION '{folder}/batch_id={n[-1]}/{BUCKET}={b}'" for b, n in sorted(written.items())]
+        spark.sql(f"ALTER TABLE {version} ADD {' '.join(added)}")
+    _show(spark, name, version, ", ".join(f"`{f.name}`" for f in schema.fields))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise import schemas, session
+from meterwise.operators.knowledge import upsert_documents
 from meterwise.plans import catalogue, refresh
 from meterwise.plans.features import StoredFeatures
 from meterwise.session import CHECKPOINT_DIR, scratch_cleared, settle, settle_once, shared_dir
@@ -165,3 +166,67 @@ def test_parquet_source_and_rows(spark, tmp_path):
     tables = from_parquet(spark, {"list_prices": str(tmp_path / "prices")})
     assert tables.list_prices.first()["unit_price"] == 0.5
     assert tables.list_prices is tables.list_prices
+
+
+CORPUS = T.StructType().add("k", "string").add("v", "string").add("updated_at", "timestamp")
+
+
+def corpus_rows(spark, pairs):
+    rows = spark.createDataFrame(pairs, "k string, v string")
+    return rows.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+
+
+def replaced(before, batch):
+    return upsert_documents(before, batch, "k")
+
+
+def files_by_bucket(spark, name):
+    version = spark.table(sink.versions_of(spark, name)[-1])
+    rows = version.select("bucket", F.input_file_name()).distinct().collect()
+    return {b: sorted(f for x, f in rows if x == b) for b, _ in rows}
+
+
+def test_an_upsert_writes_the_buckets_of_its_keys_and_leaves_all_other_files(spark, database):
+    name = f"{database}.bucketed"
+    sink.create_buckets_if_missing(spark, name, CORPUS, buckets=8)
+    assert spark.table(name).columns == ["k", "v", "updated_at"] and spark.table(name).isEmpty()
+    expected = {str(i): "old" for i in range(100)}
+    sink.upsert_buckets(corpus_rows(spark, list(expected.items())), name, CORPUS, "k", replaced)
+    held, first = spark.table(sink.versions_of(spark, name)[-1]), files_by_bucket(spark, name)
+    assert len(first) == 8
+    for round_, keys in enumerate((["3", "new"], ["3"], ["50", "51"])):
+        before, batch = files_by_bucket(spark, name), [(k, f"round {round_}") for k in keys]
+        sink.upsert_buckets(corpus_rows(spark, batch), name, CORPUS, "k", replaced)
+        expected |= dict(batch)
+        assert rows_of(spark.table(name), "k", "v") == sorted(expected.items(), key=repr)
+        touched = {r[0] for r in corpus_rows(spark, batch).select(sink.bucket_of("k", 8)).collect()}
+        after = files_by_bucket(spark, name)
+        assert {b for b in after if after[b] != before[b]} == touched
+        if round_ == 0:  # a reader of the version before still has its files
+            assert rows_of(held, "k", "v") == rows_of(corpus_rows(spark, [(str(i), "old") for i in range(100)]), "k", "v")
+    sink.create_buckets_if_missing(spark, name, CORPUS, buckets=8)
+    assert spark.table(name).count() == 101 and len(sink.versions_of(spark, name)) == 2
+    sink.upsert_buckets(corpus_rows(spark, []), name, CORPUS, "k", replaced)
+    assert rows_of(spark.table(name), "k", "v") == sorted(expected.items(), key=repr)
+
+
+def test_a_batch_that_was_not_published_counts_for_nothing(spark, database, monkeypatch):
+    name = f"{database}.interrupted"
+    sink.create_buckets_if_missing(spark, name, CORPUS, buckets=4)
+    sink.upsert_buckets(corpus_rows(spark, [(str(i), "old") for i in range(20)]), name, CORPUS, "k", replaced)
+    before = rows_of(spark.table(name))
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    for value in ("a", "b", "c"):  # more often than superseded folders are kept
+        with monkeypatch.context() as patched, pytest.raises(RuntimeError, match="driver lost"):
+            patched.setattr(sink, "_publish_buckets", lost)
+            sink.upsert_buckets(corpus_rows(spark, [("1", value), (value, value)]), name, CORPUS, "k", replaced)
+        assert rows_of(spark.table(name)) == before
+    sink.upsert_buckets(corpus_rows(spark, [("1", "new"), ("1", "newer")]), name, CORPUS, "k", replaced)
+    assert rows_of(spark.table(name).where("v <> 'old'"), "k", "v") == [("1", "newer")]
+    assert spark.table(name).count() == 20
+    with pytest.raises(Exception, match="cannot be upserted"):
+        sink.upsert_buckets(corpus_rows(spark, [(None, "x")]), name, CORPUS, "k", replaced)
+    assert spark.table(name).count() == 20

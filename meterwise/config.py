@@ -41,6 +41,8 @@ class Config:
     """A join side is broadcast only if a count shows at most this many rows."""
     salt_buckets: int = 64
     """Slices per key when the side is too large to broadcast."""
+    version_slot_hours: int = 24
+    """Width of the time slots in which facts meet a long list of versions."""
     query_vectors_per_task: int = 1_024
     """Query vectors held by one task in a similarity search."""
 

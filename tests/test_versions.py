@@ -6,7 +6,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from meterwise.functions.joins import holds_at_most
+from meterwise.functions.joins import holds_at_most, join_in_force, met_in_slots
 from meterwise.operators import versions
 from meterwise.sources.driver_tables import load
 from meterwise.sources.platform import flat_clusters, flat_prices, flat_usage
@@ -61,6 +61,46 @@ def test_salted_join_gives_what_broadcast_gives(spark, cfg):
     assert few.count() == t.usage.count()
 
 
+JOIN = (["k"], "at", "since", "until")
+
+
+def histories(spark, days):
+    """A long history for two keys, one version every 12 hours, each with an overlapping twin; all but the last end."""
+    start = F.timestamp_add("HOUR", F.col("id") * 12, F.lit("2024-01-01").cast("timestamp"))
+    end = F.when(F.col("id") < 2 * days - 1, F.timestamp_add("HOUR", F.lit(12), "since"))
+    return (
+        spark.range(2 * days).withColumn("since", start).withColumn("until", end)
+        .crossJoin(spark.createDataFrame([("hot", 0), ("hot", 1), ("cold", 0)], "k string, twin int"))
+        .withColumnRenamed("id", "version")
+    )
+
+
+def test_facts_meet_the_versions_of_their_slot_and_not_a_whole_history(spark, cfg):
+    versions_of_days = histories(spark, 60)
+    at = F.timestamp_add("MINUTE", F.col("id") * 37, F.lit("2023-12-30").cast("timestamp"))
+    facts = spark.range(3000).withColumn("k", F.expr("IF(id % 10 = 0, 'cold', IF(id % 10 = 1, 'other', 'hot'))")).withColumn("at", at)
+    facts = facts.withColumn("at", F.expr("CASE WHEN id = 7 THEN null ELSE at END"))
+    met = met_in_slots(facts, versions_of_days, *JOIN, cfg)
+    plain = facts.join(versions_of_days, "k")
+    assert met.count() <= 4 * 2 * facts.count() < plain.count() / 20  # four of a day's bounds, two twins
+    for bound in (0, 10_000):
+        joined = join_in_force(facts, versions_of_days, *JOIN, replace(cfg, broadcast_rows=bound))
+        expected = plain.where("since <= at AND (until IS NULL OR at < until)").drop("since", "until")
+        assert joined.exceptAll(expected).isEmpty() and expected.exceptAll(joined).isEmpty()
+
+
+def test_an_absurd_time_and_no_time_at_all(spark, cfg):
+    few = histories(spark, 3)
+    facts = spark.createDataFrame([("hot", "2024-01-02 05:00:00"), ("hot", "9999-01-01 00:00:00"), ("hot", "0001-02-01 00:00:00")], "k string, at string")
+    facts = facts.withColumn("at", F.col("at").cast("timestamp"))
+    joined = join_in_force(facts, few, *JOIN, replace(cfg, broadcast_rows=0))
+    assert rows_of(joined, F.col("at").cast("string"), "version", "twin") == [
+        ("2024-01-02 05:00:00", 2, 0), ("2024-01-02 05:00:00", 2, 1), ("9999-01-01 00:00:00", 5, 0), ("9999-01-01 00:00:00", 5, 1),
+    ]
+    for none in (facts.where("false"), facts.withColumn("at", F.lit(None).cast("timestamp"))):
+        assert join_in_force(none, few, *JOIN, replace(cfg, broadcast_rows=0)).isEmpty()
+
+
 def test_salt_spreads_one_hot_key(frame, spark, prices, cfg):
     usage = spark.range(4000).select(
         F.lit("a").alias("cloud"), F.lit("x").alias("sku_name"),

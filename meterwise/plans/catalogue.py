@@ -30,7 +30,7 @@ from meterwise.operators import (
     versions,
     waste,
 )
-from meterwise.plans import incremental, refresh
+from meterwise.plans import incremental, refresh, vector_index
 from meterwise.plans.features import Features, SettledFeatures
 from meterwise.plans.findings import Findings
 from meterwise.session import scratch_path
@@ -479,6 +479,17 @@ def _stored_search(i: Inputs) -> DataFrame:
     return rounded(found, score=6)
 
 
+@query("stored_index_search")
+def _stored_index_search(i: Inputs) -> DataFrame:
+    """All vectors in an index; those of one label move to other lists and back before the search."""
+    name, vectors = f"{_new_database(i)}.vector_index", i.t.document_vectors
+    vector_index.build_index(vectors, name)
+    changed = vectors.where("label = 1")
+    vector_index.refresh_index(changed.withColumn("vector", F.expr("transform(vector, x -> -x)")), name)
+    vector_index.refresh_index(changed, name)
+    return rounded(vector_index.search_index(i.spark, name, knowledge.label_centroids(vectors), CONFIG), score=6)
+
+
 @query("stored_report")
 def _stored_report(i: Inputs) -> DataFrame:
     database = _new_database(i)

@@ -903,6 +903,7 @@ SQL |= {
         FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS t,
                      count(*) OVER (PARTITION BY session_id) AS n FROM agent_conversation), range(2) AS b(batch)""",
     "stored_documents": SQL["upsert_documents"],
+    "stored_index_search": SQL["semantic_topk"],
     "stored_search": SQL["semantic_search"].replace("knowledge_docs", "merged_docs"),
     "stored_report": SQL["cost_by_sku"],
 }

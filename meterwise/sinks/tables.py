@@ -140,19 +140,35 @@ def create_buckets_if_missing(spark: SparkSession, name: str, schema: T.StructTy
 def upsert_buckets(
     batch: DataFrame, name: str, schema: T.StructType, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> None:
-    """Merge ``batch`` into a table of ``create_buckets_if_missing``, whose rows lie in buckets of the hash of ``key``.
+    """As ``merge_parts``, for rows that lie in buckets of the hash of ``key``."""
+    buckets = int(_properties(batch.sparkSession, name)["buckets"])
+    merge_parts(batch, name, schema, bucket_of(key, buckets), merge)
 
-    The buckets that the batch's keys fall into are read, merged by ``merge`` (rows before, batch) and written anew; a new
-    version takes all other buckets over from the last one, files and all. So the work follows the buckets that a batch
+
+def merge_parts(
+    batch: DataFrame, name: str, schema: T.StructType, part: Column, merge: Callable[[DataFrame, DataFrame], DataFrame]
+) -> None:
+    """Merge ``batch`` into a table of ``create_buckets_if_missing`` whose rows lie in the parts that ``part`` names.
+
+    The parts of the batch's rows are read, merged by ``merge`` (rows before, batch) and written anew; a new
+    version takes all others over from the last one, files and all. So the work follows the parts that a batch
     touches, not the table. Readers see the last version until the new is complete, and keep its files over
     one more. A batch that failed before its version was published counts for nothing and is written over by the
     next, so it can be repeated. One writer at a time.
     """
-    spark = batch.sparkSession
-    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {versions_of(spark, name)[-1]}").collect()}
-    number, buckets = int(properties["number"]) + 1, int(properties["buckets"])
-    merge_batch(conform(batch, schema), _bucket_folder(spark, name), number, BUCKET, bucket_of(key, buckets), merge)
-    _publish_buckets(spark, name, schema, number, buckets)
+    spark, properties = batch.sparkSession, _properties(batch.sparkSession, name)
+    number = int(properties["number"]) + 1
+    merge_batch(conform(batch, schema), _bucket_folder(spark, name), number, BUCKET, part, merge)
+    _publish_buckets(spark, name, schema, number, int(properties["buckets"]))
+
+
+def _properties(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {versions_of(spark, name)[-1]}").collect()}
+
+
+def part_table(spark: SparkSession, name: str) -> DataFrame:
+    """The newest version with its parts as column ``bucket``: a condition on it leaves other parts unread."""
+    return spark.table(versions_of(spark, name)[-1])
 
 
 def bucket_of(key: str, buckets: int) -> Column:

@@ -4,6 +4,8 @@ Fingerprints that differ in at most two of 64 bits agree on one of any three par
 bits. So each distinct fingerprint goes to three shards, keyed by a part and its value;
 every link lies within a shard. A shard that is too large is divided again in the same
 way by its remaining bits. Each shard's tree is built where its members meet.
+
+Near copies further apart are linked beside that by the similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -178,6 +180,17 @@ def near_fingerprints(docs: DataFrame) -> DataFrame:
     return prints.join(components_of(prints, lambda nodes: smallest_reachable(near_links(nodes)).withColumnRenamed("node", "fp")), "fp").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_links(signed: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) between sets of ``signed`` (``fp``, ``simhash``) that join all whose texts have fingerprints
+    within the radius, directly or over others. A fingerprint of several sets is named by the smallest one."""
+    prints = settle(signed.select("simhash", "fp").distinct(), "fingerprints")
+    nodes = settle(prints.groupBy("simhash").agg(F.min("fp").alias("first")), "nodes")
+    equal = prints.join(nodes, "simhash").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    a, b = (nodes.select(F.col("simhash").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
+    near = near_links(nodes.select(F.col("simhash").alias("fp"))).join(a, "a").join(b, "b").select("first_a", "first_b")
+    return settle(equal.union(near).where("a <> b"), "near")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """As ``near_fingerprints``, but texts are linked whose sets of five-word shingles are at least as
     similar as ``similarity`` (Jaccard), and ``fp`` is a digest of the set."""
@@ -197,17 +210,18 @@ def components_of(prints: DataFrame, roots_of: Callable[[DataFrame], DataFrame])
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stand for their component of ``near_duplicates``, with all columns: the one of
-    smallest ``doc_id`` (null last), then of smallest text hash; of equal rows, one.
+    """The rows of ``docs`` that stand for their component, with all columns: the one of smallest ``doc_id`` (null
+    last), then of smallest text hash; of equal rows, one. The links are those of ``near_fingerprints`` and, for near
+    copies further apart, those of ``near_duplicates``.
 
     Numbers and digests of the rows decide; the winners are then met with the rows,
     whose texts are not shuffled while the winners' ids fit a broadcast.
     """
-    signed = with_signatures(docs)
+    signed = with_signatures(docs, simhash=simhash("text"))
     prints = signed.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), "fp", F.xxhash64("doc.text").alias("digest"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")
     firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
-    found = components_of(prints, lambda _: similar_roots(signed, similarity))
+    found = components_of(prints, lambda _: similar_roots(signed, similarity, fingerprint_links(signed)))
     winners = firsts.join(found, "fp").groupBy("root").agg(F.min("first").alias("first"))
     return signed.join(winners.select("first.row"), "row", "left_semi").select("doc.*")
 

@@ -112,3 +112,32 @@ def test_columns_of_any_name_come_back(spark):
     docs = [(i, "a b c d e f g", i * 7, f"k{i}", 0.5, "s", i) for i in range(3)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, row int, fp string, bands double, doc string, _row int")
     assert [tuple(r) for r in simhash.one_of_each(frame).collect()] == docs[:1]
+
+
+def repeated(seed, words, times, tail=5):
+    """A long part that is the same for all seeds, and an end that is not."""
+    draw = random.Random(seed)
+    return " ".join([f"c{i}" for i in range(words)] * times + [f"t{draw.randrange(10**6)}" for _ in range(tail)])
+
+
+def test_near_fingerprints_are_linked_too(spark):
+    """Fingerprints count repeats, sets do not: texts within two bits may be unlike as sets."""
+
+    def bits(a, b):
+        return (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+
+    def alike(a, b):
+        return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+    base = repeated(0, 21, 6)
+    near = next(t for t in (repeated(n, 21, 6) for n in range(1, 500)) if bits(base, t) in (1, 2))
+    equal = [repeated(n, 5, 40, 9) for n in range(3)]
+    far = " ".join(f"{w}{i // 3}" for i, w in enumerate(equal[0].split()))
+    copy = " ".join([*near.split()[84:], "end"])  # like near as a set, reached from base over it only
+    assert alike(base, near) < 0.8 and alike(equal[0], equal[1]) < 0.8 and bits(equal[0], equal[1]) == 0
+    assert alike(near, copy) >= 0.8 and bits(base, copy) > 2 and bits(near, copy) > 2
+    docs = [(1, base), (2, near), (3, copy), (4, far), *((5 + i, t) for i, t in enumerate(equal)), (9, None), (10, " ")]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 5, 9: 9, 10: 9}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(frame).collect()) == sorted(set(want.values()))
+    assert all(want[r["doc_id"]] == want[r["component_id"]] for r in simhash.near_fingerprints(frame).collect())
